@@ -1,0 +1 @@
+"""lakesift.streaming"""
