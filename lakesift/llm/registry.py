@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lakesift.llm import quality
+from lakesift.llm import ngram_join, quality
 
 QUERIES = {
+    "op3_ngram_jaccard_join": ngram_join.query,
     "op7_quality_rules": quality.query,
 }
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
 }
