@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lakesift.llm import ngram_join, quality
+from lakesift.llm import ngram_join, quality, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op7_quality_rules": quality.query,
 }
