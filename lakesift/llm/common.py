@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,8 +47,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Lets executors drop the shuffle files that only finished plans used."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Removes a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from lakesift.llm import ngram_join, quality, token_counts
+from lakesift.llm import line_dedup, mixing, ngram_join, quality, token_counts, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_token_counts": token_counts.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op7_quality_rules": quality.query,
+    "op9_mix_sources": mixing.query,
+    "op10_warc": warc.query,
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
+    "op9_mix_sources": mixing.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
