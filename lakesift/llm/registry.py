@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lakesift.llm import line_dedup, mixing, ngram_join, quality, token_counts, warc
+from lakesift.llm import line_dedup, mixing, ngram_join, pieces, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_token_counts": token_counts.query,
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op4_toxicity": toxicity.query,
+    "op5_sentencepiece": pieces.query,
     "op7_quality_rules": quality.query,
     "op9_mix_sources": mixing.query,
     "op10_warc": warc.query,
