@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakesift.llm import line_dedup, mixing, ngram_join, pieces, quality, token_counts, toxicity, warc
+from lakesift.llm import line_dedup, mixing, ngram_join, pieces, quality, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_sentencepiece": pieces.query,
     "op7_quality_rules": quality.query,
+    "op8_exact_top_k": topk.query,
     "op9_mix_sources": mixing.query,
     "op10_warc": warc.query,
 }
@@ -19,6 +20,7 @@ ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
+    "op8_exact_top_k": topk.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }
