@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakesift.llm import line_dedup, mixing, ngram_join, pieces, quality, token_counts, topk, toxicity, warc
+from lakesift.llm import line_dedup, lm, mixing, ngram_join, pieces, quality, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.query,
     "op4_toxicity": toxicity.query,
     "op5_sentencepiece": pieces.query,
+    "op6_lm_scoring": lm.query,
     "op7_quality_rules": quality.query,
     "op8_exact_top_k": topk.query,
     "op9_mix_sources": mixing.query,
