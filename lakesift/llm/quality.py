@@ -159,7 +159,9 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     An n_chars column, where there is one, follows the text."""
     keep = docs.columns
-    judged = judge(docs.select(F.struct("*").alias("_row"), F.col("text").alias("text")), rules).filter("kept")
+    judged = judge(docs.select(F.struct("*").alias("_row"), F.col("text").alias("text")), rules)
+    # A column that may not be computed twice keeps the filter above the rules; pushed below, it would repeat them all.
+    judged = judged.withColumn("_at", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_at") >= 0))
     fresh = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return judged.select(*[fresh[c].alias(c) if c in fresh else F.col("_row")[c].alias(c) for c in keep])
 
