@@ -37,7 +37,7 @@ SCALE = 256
 PIVOTS = 32
 PIVOT_SAMPLE = 2048
 BLOCK = 4096  # rows of a block, about
-LEAF = 48
+LEAF, ASK_LEAF = 48, 8  # members of a node without children: of data, of queries
 CHUNK = 32768  # queries that are broadcast at once, or those of one block
 EXACT = 2.0**53
 
@@ -67,7 +67,7 @@ def far_points(x: np.ndarray, n: int) -> np.ndarray:
     return np.array(picked)
 
 
-def cover_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cover_tree(x: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, nodes, centres): nodes are rows of (first, last, first child, children, radius); centres are points."""
     order = np.arange(len(x))
     nodes: list[list[float]] = [[0, len(x), 0, 0, 0.0]]
@@ -78,7 +78,7 @@ def cover_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = order[first:last]
         gap = _gaps(x[own], centres[at])
         nodes[at][4] = float(gap.max()) if len(own) else 0.0
-        if len(own) > LEAF and nodes[at][4] > 0:
+        if len(own) > leaf and nodes[at][4] > 0:
             # Children: centres more than half the radius apart, members with the nearest; at most 16 of them.
             net, near, nearest = [0], _gaps(x[own], x[own[0]]), np.zeros(len(own), int)
             while len(net) < 16 and near.max() > nodes[at][4] / 2:
@@ -106,8 +106,8 @@ class Tree:
         self.norms = np.sqrt((centres**2).sum(axis=1))
 
     @staticmethod
-    def of(ids: np.ndarray, x: np.ndarray) -> Tree:
-        order, nodes, centres = cover_tree(x)
+    def of(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF) -> Tree:
+        order, nodes, centres = cover_tree(x, leaf)
         return Tree(ids[order], x[order], nodes, centres)
 
     def children(self, node: int) -> range:
@@ -182,7 +182,7 @@ def walk(q: Tree, x: Tree, best: Best) -> int:
         if rows.start == rows.stop or cols.start == cols.stop or top < best.worst[rows].min():
             continue
         split_a, split_b = q.children(a), x.children(b)
-        if (not split_a and not split_b) or (rows.stop - rows.start) * (cols.stop - cols.start) <= LEAF * LEAF:
+        if not split_a and not split_b:
             scores = products(q.x[rows], x.x[cols])
             done += scores.size
             best.add(rows, x.ids[cols], scores)
@@ -263,7 +263,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     def part(names: list[str]) -> DataFrame:
         asked = index.filter(F.col("block").isin(names)).select("dim", "kind", "ask_ids", "ask_vectors", "block").orderBy("block").toArrow().to_pylist()
         held = spark.sparkContext.broadcast(
-            [Tree.of(np.frombuffer(r["ask_ids"], np.int64), _wide(r["kind"], r["ask_vectors"], r["dim"])) for r in asked]
+            [Tree.of(np.frombuffer(r["ask_ids"], np.int64), _wide(r["kind"], r["ask_vectors"], r["dim"]), ASK_LEAF) for r in asked]
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
