@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from lakesift.functions.dialect import Dialect, Duck
+from lakesift.operators import provenance, rules
+from lakesift.sources import bundles
+
 FLAGSHIP = "inspect_bundle"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_SQL = {**bundles.QUERIES, **rules.QUERIES, **provenance.QUERIES}
+
+
+def _query(make):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(make(Dialect(sf_dir)))
+
+    return run
+
+
+QUERIES = {name: _query(make) for name, make in _SQL.items()}
+ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in _SQL.items()}
