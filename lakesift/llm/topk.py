@@ -23,6 +23,7 @@ than k candidates give fewer rows; an empty table gives no rows. Other columns a
 from __future__ import annotations
 
 import functools
+import heapq
 import operator
 from collections.abc import Iterator
 
@@ -175,23 +176,24 @@ def walk(q: Tree, x: Tree, best: Best) -> int:
         top = float(qc[a] @ xc[b]) + q.norms[a] * rb + x.norms[b] * ra + ra * rb
         return top + 1e-9 * (abs(top) + q.norms[a] * x.norms[b] + 1)  # float sums may round down
 
-    stack = [(0, 0, bound(0, 0))]
-    while stack:
-        a, b, top = stack.pop()
+    # Best first: a query group meets its promising partners before the others, which its worst score then rules out.
+    heap = [(-bound(0, 0), 0, 0)]
+    while heap:
+        top, a, b = heapq.heappop(heap)
         rows, cols = q.span(a), x.span(b)
-        if rows.start == rows.stop or cols.start == cols.stop or top < best.worst[rows].min():
+        if rows.start == rows.stop or cols.start == cols.stop or -top < best.worst[rows].min():
             continue
         split_a, split_b = q.children(a), x.children(b)
         if not split_a and not split_b:
             scores = products(q.x[rows], x.x[cols])
             done += scores.size
             best.add(rows, x.ids[cols], scores)
-            continue
-        if split_b and (not split_a or x.nodes[b, 4] >= q.nodes[a, 4]):
-            pairs = [(a, c, bound(a, c)) for c in split_b]
+        elif split_b and (not split_a or x.nodes[b, 4] >= q.nodes[a, 4]):
+            for c in split_b:
+                heapq.heappush(heap, (-bound(a, c), a, c))
         else:
-            pairs = [(c, b, bound(c, b)) for c in split_a]
-        stack += sorted(pairs, key=operator.itemgetter(2))  # the most promising pair comes off first
+            for c in split_a:
+                heapq.heappush(heap, (-bound(c, b), c, b))
     return done
 
 
