@@ -76,7 +76,7 @@ def cover_tree(x: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.nda
     at = 0
     while at < len(nodes):
         first, last = int(nodes[at][0]), int(nodes[at][1])
-        own = order[first:last]
+        own = order[first:last].copy()
         gap = _gaps(x[own], centres[at])
         nodes[at][4] = float(gap.max()) if len(own) else 0.0
         if len(own) > leaf and nodes[at][4] > 0:
