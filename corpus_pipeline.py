@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesift.llm import line_dedup, mixing, ngram_join, pieces, quality
-from lakesift.llm.common import Scratch, table
+from lakesift.llm.common import Scratch, growing, table
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents stays."""
     linked = ngram_join.link(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    others = linked.filter("doc_id <> component_id").select("doc_id").distinct()
+    others = growing(linked.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

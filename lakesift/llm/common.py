@@ -62,6 +62,11 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def growing(side: DataFrame) -> DataFrame:
+    """The side of a join that grows with the corpus: it is shuffled at every size and never broadcast."""
+    return side.hint("merge")
+
+
 def count_of(text: Column, needles: str) -> Column:
     """How many characters of text are one of the (ASCII) needles."""
     rest = text

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import Scratch, table
+from lakesift.llm.common import Scratch, growing, table
 from lakesift.llm.components import roots
 from lakesift.llm.wordhash import mix, shingle_sets, text_buffers
 
@@ -126,11 +126,11 @@ def _sets(width: int):
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Sets are made anew, for the documents in pairs only."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id long, tokens array<long>")
+    sets = docs.join(growing(wanted), "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id long, tokens array<long>")
     left, right = (sets.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        pairs.join(growing(left), "a").join(growing(right), "b")
         .filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both))
         .select("a", "b")
     )
@@ -154,18 +154,18 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     sized = facts.filter("id IS NOT NULL")
     holds = sized.filter("n > 0")
     first = holds.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    same = holds.join(first, ["n", "f1", "f2"]).filter("id <> rep").select("id", "rep").distinct()
+    same = holds.join(growing(first), ["n", "f1", "f2"]).filter("id <> rep").select("id", "rep").distinct()
     reps = first.select(F.col("rep").alias("id")).distinct()
 
     index = scratch.write(
         docs.mapInArrow(_indexed(width, percent, common), "id long, n long, tokens array<long>")
-        .filter("n > 0").join(reps, "id", "left_semi")
+        .filter("n > 0").join(growing(reps), "id", "left_semi")
         .select("id", "n", F.explode("tokens").alias("token")),
         "index",
     )
     lead = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("held")).filter("held > 1")
     shared = scratch.write(
-        index.join(lead, "token").select("token", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")),
+        index.join(growing(lead), "token").select("token", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")),
         "shared",
     )
     scratch.drop(index)
@@ -185,7 +185,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     groups = scratch.write(roots(star_links, scratch), "groups")
 
     grouped = (
-        shared.select("token", "id", "n").join(groups, shared["id"] == groups["node"], "left")
+        shared.select("token", "id", "n").join(growing(groups), shared["id"] == groups["node"], "left")
         .select("token", "id", "n", F.coalesce("root", "id").alias("group"))
     )
     grouped = scratch.write(grouped, "grouped")
@@ -194,19 +194,19 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     queries = grouped.select("token", F.col("id").alias("a"), "n", F.col("group").alias("own"))
     # Of two groups, the documents of the one with the larger root ask the other.
     opened = (
-        queries.join(matrix, "token").filter("own > group")
+        queries.join(growing(matrix), "token").filter("own > group")
         .filter((F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent))
         .groupBy("a", "n", "group").agg(F.count("*").alias("c"))
         .filter(F.col("c") >= least_shared("n")).select("a", "n", "group")
     )
     members = grouped.groupBy("id", "group").agg(F.first("n").alias("m")).withColumnRenamed("id", "b")
-    pairs = opened.join(members, "group").filter(fits("n", "m")).select("a", "b")
+    pairs = opened.join(growing(members), "group").filter(fits("n", "m")).select("a", "b")
     more = _verified(scratch.write(pairs, "opened"), docs, width, percent)
 
     ends = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).union(star_links).union(more)
     final = roots(ends, scratch)
     return (
-        sized.join(final, sized["id"] == final["node"], "left")
+        sized.join(growing(final), sized["id"] == final["node"], "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     )
 
