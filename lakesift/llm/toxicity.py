@@ -107,10 +107,24 @@ class Training:
 
     def __init__(self, texts: list[str], labels: np.ndarray):
         raw, offsets = text_buffers(pa.array(texts, pa.string()))
-        own, starts, ends, self.counts = word_spans(raw, offsets)
-        hashes, _ = word_hashes(raw, offsets)
-        _, first, self.words = np.unique(hashes, return_index=True, return_inverse=True)
-        self.buckets, self.sizes = word_buckets(own, starts[first], ends[first], hashes[first])
+        known, buckets, sizes = np.zeros(0, np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        every, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for at, to in row_chunks(offsets):  # a part at a time, for the driver's memory
+            hashes, n = word_hashes(raw, offsets[at : to + 1])
+            own, starts, ends, _ = word_spans(raw, offsets[at : to + 1])
+            distinct, first = np.unique(hashes, return_index=True)
+            new = ~np.isin(distinct, known)
+            if new.any():
+                first = first[new]
+                found, many = word_buckets(own, starts[first], ends[first], hashes[first])
+                buckets.append(found)
+                sizes.append(many)
+                known = np.concatenate([known, distinct[new]])
+            every.append(hashes)
+            counts.append(n)
+        self.counts, self.buckets, self.sizes = np.concatenate(counts), np.concatenate(buckets), np.concatenate(sizes)
+        order = np.argsort(known)
+        self.words = order[np.searchsorted(known[order], np.concatenate(every))]
         self.at = np.cumsum(self.sizes) - self.sizes
         self.w_start, self.w_size, self.w_row = windows(self.counts)
         self.labels = labels
