@@ -57,8 +57,10 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self.drop_path(df._scratch_path)
+
+    def drop_path(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

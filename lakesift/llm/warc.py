@@ -304,8 +304,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(_warc_rows, WARC_ROWS)
 
 
-def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", captured: str = "20240101000000") -> DataFrame:
-    """Writes pages as legacy archives, converts those to WARC, and reads the WARC files back."""
+def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", captured: str = "20240101000000", keep_legacy: bool = False) -> DataFrame:
+    """Writes pages as legacy archives, converts those to WARC, and reads the WARC files back.
+
+    The legacy files go when they are converted, unless keep_legacy."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
     own = pages.select(
@@ -314,6 +316,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload
     arc, warc = scratch.path("arc"), scratch.path("warc")
     write_records(arc_text(own, "i", "u", "p", captured), arc, "\n")
     converted = scratch.write(read_arc(spark, arc), "converted")
+    if not keep_legacy:
+        scratch.drop_path(arc)
     write_records(to_warc(converted), warc, RECORD_END)
     return read_warc(spark, warc)
 
