@@ -38,7 +38,7 @@ SCALE = 256
 PIVOTS = 32
 PIVOT_SAMPLE = 2048
 BLOCK = 4096  # rows of a block, about
-LEAF, ASK_LEAF = 48, 8  # members of a node without children: of data, of queries
+LEAF, ASK_LEAF = 512, 64  # members of a node without children: of data, of queries
 CHUNK = 32768  # queries that are broadcast at once, or those of one block
 EXACT = 2.0**53
 
