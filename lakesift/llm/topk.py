@@ -38,7 +38,7 @@ SCALE = 256
 PIVOTS = 32
 PIVOT_SAMPLE = 2048
 BLOCK = 4096  # rows of a block, about
-LEAF, ASK_LEAF = 512, 64  # members of a node without children: of data, of queries
+LEAF, ASK_LEAF = 512, 64  # members up to which a node may stay whole: of data, of queries
 CHUNK = 32768  # queries that are broadcast at once, or those of one block
 EXACT = 2.0**53
 
@@ -79,7 +79,7 @@ def cover_tree(x: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.nda
         own = order[first:last].copy()
         gap = _gaps(x[own], centres[at])
         nodes[at][4] = float(gap.max()) if len(own) else 0.0
-        if len(own) > leaf and nodes[at][4] > 0:
+        if len(own) > leaf // 8 and nodes[at][4] > 0:
             # Children: centres more than half the radius apart, members with the nearest; at most 16 of them.
             net, near, nearest = [0], _gaps(x[own], x[own[0]]), np.zeros(len(own), int)
             while len(net) < 16 and near.max() > nodes[at][4] / 2:
@@ -87,7 +87,8 @@ def cover_tree(x: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.nda
                 d = _gaps(x[own], x[own[net[-1]]])
                 nearest = np.where(d < near, len(net) - 1, nearest)
                 near = np.minimum(near, d)
-            if len(net) > 1:
+            # A node of up to `leaf` members is split only if that halves its radius; in many dimensions it doesn't.
+            if len(net) > 1 and (len(own) > leaf or near.max() <= nodes[at][4] / 2):
                 by = np.argsort(nearest, kind="stable")
                 order[first:last] = own[by]
                 limits = first + np.concatenate([[0], np.cumsum(np.bincount(nearest, minlength=len(net)))])
