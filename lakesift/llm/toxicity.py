@@ -122,7 +122,8 @@ class Training:
                 known = np.concatenate([known, distinct[new]])
             every.append(hashes)
             counts.append(n)
-        self.counts, self.buckets, self.sizes = np.concatenate(counts), np.concatenate(buckets), np.concatenate(sizes)
+        self.counts, self.sizes = np.concatenate(counts), np.concatenate(sizes)
+        self.buckets = np.concatenate(buckets).astype(np.int32)
         order = np.argsort(known)
         self.words = order[np.searchsorted(known[order], np.concatenate(every))]
         self.at = np.cumsum(self.sizes) - self.sizes
@@ -135,7 +136,7 @@ class Training:
 
     def logits(self) -> np.ndarray:
         """Of every window."""
-        word = _sums(self.model.bucket_logits()[self.buckets].astype(float), self.sizes) / self.sizes
+        word = _sums(self.model.bucket_logits()[self.buckets], self.sizes) / self.sizes
         run = np.concatenate([[0.0], np.cumsum(word[self.words])])
         return (run[self.w_start + self.w_size] - run[self.w_start]) / self.w_size + self.model.bias
 
