@@ -33,7 +33,7 @@ from lakesift.llm.common import table
 from lakesift.llm.wordhash import row_chunks, text_buffers
 
 BLANK = "▁"
-KEPT_WORDS = 300_000  # words a worker keeps the pieces of
+KEPT_WORDS = 1_000_000  # words a worker keeps the pieces of
 PAIR_SLOTS = 1 << 20  # answers of the neighbour test that a worker keeps
 FAR = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -122,8 +122,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = [np.zeros(0, np.int32)]
-        self.sizes: list[int] = []
+        self.flat = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int64)
 
     def _find(self, h: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         """Rank of the piece with that hash and size, -1 if there is none."""
@@ -231,6 +231,7 @@ class Encoder:
             for at in range(0, len(words), most):
                 part = words[at : at + most]
                 done.update(zip(part, self.viterbi(part), strict=True))
+        new: list[np.ndarray] = []
         for u in units:
             w = bare.get(u)
             if w is None:
@@ -241,9 +242,11 @@ class Encoder:
                     ids = np.concatenate([np.array(self._blanks(extra + 1), np.int32), ids[1:]])
                 elif extra:
                     ids = np.concatenate([np.array(self._blanks(extra), np.int32), ids])
-            self.known[u] = len(self.sizes)
-            self.sizes.append(len(ids))
-            self.flat.append(ids)
+            self.known[u] = len(self.sizes) + len(new)
+            new.append(ids)
+        if new:
+            self.flat = np.concatenate([self.flat, *new])
+            self.sizes = np.concatenate([self.sizes, [len(ids) for ids in new]])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, tokens of each)."""
@@ -254,8 +257,7 @@ class Encoder:
             self.forget()
             new = set(words)
         self._learn(list(new))
-        self.flat = [np.concatenate(self.flat)]
-        sizes = np.array(self.sizes, np.int64)
+        sizes = self.sizes
         starts = np.concatenate([[0], np.cumsum(sizes)])
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         own = sizes[index]
@@ -264,7 +266,7 @@ class Encoder:
         at = np.repeat(starts[index] - (ends - own), own) + np.arange(total)
         per_text = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
         until = np.concatenate([[0], ends])[per_text]
-        return self.flat[0][at], np.diff(until)
+        return self.flat[at], np.diff(until)
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
