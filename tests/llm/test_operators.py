@@ -2,7 +2,9 @@
 
 import collections
 import math
+import random
 import re
+import string
 import zlib
 
 import duckdb
@@ -209,6 +211,25 @@ def test_line_dedup_near_lines(spark):
     assert got == {1: [], 2: [0], 3: [0], 4: []}
 
 
+def changed(rng, alphabet, line, at):
+    """The line with other characters at some places."""
+    return "".join(rng.choice([c for c in alphabet if c != x]) if i in at else x for i, x in enumerate(line))
+
+
+def test_line_dedup_lines_without_blanks(spark):
+    rng = random.Random(1)
+    han, b64 = [chr(0x4E00 + i) for i in range(3000)], string.ascii_letters + string.digits + "+/"
+    pairs = []
+    for _ in range(40):
+        line = "".join(rng.choices(han, k=200))
+        pairs.append((line, changed(rng, han, line, {0})))
+        line = "data:image/png;base64," + "".join(rng.choices(b64, k=298))
+        pairs.append((line, changed(rng, b64, line, {rng.randrange(22, 320), rng.randrange(22, 320)})))
+    pairs += [("=" * 90, "=" * 300), ("-+" * 40, "-+" * 400)]
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.judge_lines(docs).collect() if r.removed == [1]} == set(range(len(pairs)))
+
+
 def test_ngram_join_odd(spark, odd, none):
     assert ngram_join.link(none).count() == 0
     got = ngram_join.link(odd).collect()
