@@ -230,6 +230,17 @@ def test_line_dedup_lines_without_blanks(spark):
     assert {r.doc_id for r in line_dedup.judge_lines(docs).collect() if r.removed == [1]} == set(range(len(pairs)))
 
 
+def test_line_dedup_families_on_one_template(spark):
+    rng = random.Random(2)
+    letters = string.ascii_lowercase
+    template, pairs = "".join(rng.choices(letters, k=160)), []
+    for _ in range(300):  # similarity 0.76 or so across families, over 0.9 within one
+        line = template + "".join(rng.choices(letters, k=24))
+        pairs.append((line, line[:-1] + rng.choice([c for c in letters if c != line[-1]])))
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    assert {(r.doc_id, *r.removed) for r in line_dedup.judge_lines(docs).collect()} == {(i, 1) for i in range(len(pairs))}
+
+
 def test_ngram_join_odd(spark, odd, none):
     assert ngram_join.link(none).count() == 0
     got = ngram_join.link(odd).collect()
