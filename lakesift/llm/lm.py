@@ -6,9 +6,8 @@ documents, on 64-bit hashes of the words: each task counts its own, one shuffle
 The recurrent model knows the MODEL_WORDS most frequent tokens; every other word is first predicted as one unknown
 word and then among the other words by (c + 1) / (their counts + their number + 1), so the probabilities of all words
 and of one unseen word add up to 1. Its weights start on a bounded sample on the driver; then every task trains them
-on its own documents (segments of SEGMENT tokens, of which a fixed share SEGMENT_SHARE is taken by hash, anywhere in
-a text) by truncated backpropagation, and the weights of all tasks are averaged by their numbers of tokens, in two
-levels of groups. Scoring reads each text whole: its state is carried across windows from the first word to the end.
+on all of its own documents (segments of SEGMENT tokens, every one of every text) by truncated backpropagation, and the
+weights of all tasks are averaged by their numbers of tokens, in two levels of groups. Scoring reads each text whole: its state is carried across windows from the first word to the end.
 
 Counts of the COMMON most frequent words are broadcast (a fixed bound); the rarer words of each document go
 through a join on their hash, which has no hot keys, as all of them are rare.
@@ -31,13 +30,12 @@ from pyspark.sql import functions as F
 from lakesift.llm import gru
 from lakesift.llm.common import Scratch, table
 from lakesift.llm.toxicity import fold
-from lakesift.llm.wordhash import mix, row_chunks, text_buffers, word_hashes
+from lakesift.llm.wordhash import row_chunks, text_buffers, word_hashes
 
 MODEL_WORDS = 2048
 COMMON = 1 << 18
 HELD_WORDS = 400_000  # distinct words a task holds counts of at a time
 SEGMENT = 64
-SEGMENT_SHARE = 8  # one of so many segments trains
 START_DOCS = 400
 START_BYTES = 16 << 10
 LANES, TRAIN_LANES = 256, 96
@@ -102,15 +100,11 @@ class Vocabulary:
         return np.where(self.keys[at] == hashes, self.numbers[at], self.unknown)
 
 
-def _segments(ids: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) of the segments that train: chosen by the hash of their first words and place."""
-    first = np.cumsum(lengths) - lengths
+def _segments(lengths: np.ndarray) -> np.ndarray:
+    """The lengths of the segments of all rows, which follow one another."""
     many = -(-lengths // SEGMENT)
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    start = np.repeat(first, many) + nth * SEGMENT
-    size = np.minimum(SEGMENT, np.repeat(lengths, many) - nth * SEGMENT)
-    pick = mix(hashes[start] + hashes[start + size - 1] * np.uint64(3) + nth.astype(np.uint64)) % np.uint64(share) == 0
-    return start[pick], size[pick]
+    return np.minimum(SEGMENT, np.repeat(lengths, many) - nth * SEGMENT)
 
 
 def _flat(w: dict) -> np.ndarray:
@@ -144,11 +138,9 @@ def _trained(shared):
             for at, to in row_chunks(offsets):
                 hashes, lengths = _token_hashes(raw, offsets[at : to + 1])
                 ids = words.number(hashes)
-                start, size = _segments(ids, lengths, hashes, SEGMENT_SHARE)
-                if len(start):
-                    held.append(ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())])
-                    sizes.append(size)
-                    total += int(size.sum())
+                held.append(ids)
+                sizes.append(_segments(lengths))
+                total += len(ids)
                 if sum(map(len, held)) >= 1 << 19:
                     w = learn(w)
                     held, sizes = [], []

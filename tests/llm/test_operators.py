@@ -119,6 +119,14 @@ def test_lm_base_and_gain(spark, odd, none):
     assert lm.score(none, fold).count() == 0
 
 
+def test_lm_trains_on_every_token(spark):
+    docs = spark.createDataFrame([(f"word{i} " * (1 + 7 * i),) for i in range(40)], "text string").repartition(2)
+    words = lm.Vocabulary(np.array([lm.END], np.uint64), np.array([40]), 40, 1)
+    shared = spark.sparkContext.broadcast((lm.gru.start(words.counts), words))
+    rows = docs.mapInArrow(lm._trained(shared), lm.WEIGHTS).filter("part = 0").collect()
+    assert sum(r.tokens for r in rows) == sum(1 + 7 * i + 1 for i in range(40))
+
+
 def test_gru_probabilities_add_up():
     from lakesift.llm import gru
 
