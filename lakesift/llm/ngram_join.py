@@ -7,17 +7,21 @@ A document is the set of its distinct word shingles; two documents link when
 2. Each representative's tokens are put in one global order, rare ones first (by a frequency sketch of fixed
    size, then by hash). With n tokens, two linked sets share at least l tokens among the first
    n - ceil(percent% of n) + l of each, for any order and any l: that is the index.
-3. Similar documents are partitioned into groups: each index token names its smallest holder, documents that
-   share enough with that holder are verified against it, and verified stars form groups.
+   Two sets of sizes n and m that link share o = ceil(percent (n + m) / (100 + percent)) tokens, so l of them lie
+   among the first n - o + l of the one and m - o + l of the other: later places of either don't count.
+3. Similar documents are partitioned into groups: in STAR_ROUNDS rounds each index token names one of its holders,
+   documents of other groups that share enough with that holder are verified against it, and verified stars form
+   groups.
 4. The token-group matrix holds each group's union of index tokens. A query document's overlap with a group's
    union bounds its overlap with every member; only groups that reach l are opened, and only members of a
-   fitting size are verified. Pairs inside one group are linked already and never expanded, so a group of near
-   copies costs its size, not its square.
+   fitting size that share l index tokens themselves are verified. Pairs inside one group are linked already and
+   never expanded, so a group of near copies costs its size, not its square.
 5. Union-find over all links.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even each other;
-repeated doc_ids form one node with the union of their links; equal texts always link; an empty table gives an
-empty table. Only the id and text columns are read, so other columns may have any name.
+repeated doc_ids form one node with the union of their links; rows without a doc_id keep their size, link with
+nothing and have a null component; equal texts of rows with ids always link; an empty table gives an empty table.
+Only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from lakesift.llm.wordhash import mix, shingle_sets, text_buffers
 
 SKETCH_BITS = 22  # of the frequency sketch: counters a task holds
 SKETCH_ROWS = 1 << 18  # frequent counters that are broadcast at most: 4 MB
+STAR_ROUNDS = 2
 
 
 def _needed(n, percent: int):
@@ -137,7 +142,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id): one row for each row of docs that has an id."""
+    """(id_col, n_shingles, component_id): one row for each row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -151,8 +156,8 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         (often["f1"].to_numpy(np.int64), np.minimum(often["n"].to_numpy(np.int64), 2**31 - 1).astype(np.int32))
     )
 
-    sized = facts.filter("id IS NOT NULL")
-    holds = sized.filter("n > 0")
+    sized = facts.filter("f2 IS NOT NULL")
+    holds = sized.filter("n > 0 AND id IS NOT NULL")
     first = holds.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     same = holds.join(growing(first), ["n", "f1", "f2"]).filter("id <> rep").select("id", "rep").distinct()
     reps = first.select(F.col("rep").alias("id")).distinct()
@@ -160,14 +165,11 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     index = scratch.write(
         docs.mapInArrow(_indexed(width, percent, common), "id long, n long, tokens array<long>")
         .filter("n > 0").join(growing(reps), "id", "left_semi")
-        .select("id", "n", F.explode("tokens").alias("token")),
+        .select("id", "n", F.posexplode("tokens").alias("pos", "token")),
         "index",
     )
-    lead = index.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("held")).filter("held > 1")
-    shared = scratch.write(
-        index.join(growing(lead), "token").select("token", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")),
-        "shared",
-    )
+    held = index.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
+    shared = scratch.write(index.join(growing(held), "token"), "shared")
     scratch.drop(index)
 
     def fits(n, m):
@@ -176,34 +178,49 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     def least_shared(n):
         return _spare(F.floor(F.col(n) * percent / 100))
 
-    stars = (
-        shared.filter("id <> lead").filter(fits("n", "lead_n"))
-        .groupBy(F.col("id").alias("a"), F.col("lead").alias("b"), "n").agg(F.count("*").alias("c"))
-        .filter(F.col("c") >= least_shared("n")).select("a", "b")
-    )
-    star_links = scratch.write(_verified(scratch.write(stars, "stars"), docs, width, percent), "star-links")
-    groups = scratch.write(roots(star_links, scratch), "groups")
-
-    grouped = (
-        shared.select("token", "id", "n").join(growing(groups), shared["id"] == groups["node"], "left")
-        .select("token", "id", "n", F.coalesce("root", "id").alias("group"))
-    )
-    grouped = scratch.write(grouped, "grouped")
-    # The matrix: a group's union of index tokens, and the span of its members' sizes.
-    matrix = grouped.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = grouped.select("token", F.col("id").alias("a"), "n", F.col("group").alias("own"))
+    def early(pos, n, m):
+        """Whether a place of a set of size n counts for a partner of size m; the larger m, the fewer places do."""
+        both = F.ceil((F.col(n) + m) * percent / (100 + percent))
+        return F.col(pos) < F.col(n) - both + least_shared("n")
+
+    def grouped_by(links: DataFrame) -> DataFrame:
+        groups = roots(links, scratch).withColumnRenamed("node", "id")
+        return scratch.write(shared.join(growing(groups), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root"), "grouped")
+
+    links, grouped = None, shared.withColumn("group", F.col("id"))
+    for turn in range(STAR_ROUNDS):
+        # First the smallest holder, the same for most tokens of a family, then others by hash.
+        by = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        one = grouped.groupBy("token").agg(F.min(F.struct(by.alias("by"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group"))).alias("lead"))
+        near = grouped.join(growing(one.select("token", "lead.*")), "token").filter("group <> b_group").filter(fits("n", "m"))
+        near = near.filter(early("pos", "n", F.col("m")) & early("b_pos", "m", F.col("n")))
+        near = near.groupBy(F.col("id").alias("a"), "b", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least_shared("n"))
+        found = scratch.write(_verified(scratch.write(near.select("a", "b"), "stars"), docs, width, percent), "star-links")
+        links = found if links is None else links.union(found)
+        grouped = grouped_by(links)
+
+    # The matrix: a group's union of index tokens, the span of its members' sizes, and the earliest place of the token.
+    matrix = grouped.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.col("pos") - F.col("n")).alias("place"))
+    queries = grouped.select("token", F.col("id").alias("a"), "n", "pos", F.col("group").alias("own"))
     # Of two groups, the documents of the one with the larger root ask the other.
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    both = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
     opened = (
         queries.join(growing(matrix), "token").filter("own > group")
         .filter((F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent))
+        .filter(early("pos", "n", smallest) & (F.col("place") < least_shared("n") - both))
         .groupBy("a", "n", "group").agg(F.count("*").alias("c"))
         .filter(F.col("c") >= least_shared("n")).select("a", "n", "group")
     )
-    members = grouped.groupBy("id", "group").agg(F.first("n").alias("m")).withColumnRenamed("id", "b")
-    pairs = opened.join(growing(members), "group").filter(fits("n", "m")).select("a", "b")
-    more = _verified(scratch.write(pairs, "opened"), docs, width, percent)
-
-    ends = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).union(star_links).union(more)
+    opened = scratch.write(opened, "opened")
+    asked = opened.join(growing(queries.drop("own")), ["a", "n"])
+    members = grouped.select("token", "group", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("b_pos"))
+    pairs = asked.join(growing(members), ["token", "group"]).filter(fits("n", "m"))
+    pairs = pairs.filter(early("pos", "n", F.col("m")) & early("b_pos", "m", F.col("n")))
+    pairs = pairs.groupBy("a", "b", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least_shared("n")).select("a", "b").distinct()
+    more = _verified(scratch.write(pairs, "pairs"), docs, width, percent)
+
+    ends = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).union(links).union(more)
     final = roots(ends, scratch)
     return (
         sized.join(growing(final), sized["id"] == final["node"], "left")
