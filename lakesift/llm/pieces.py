@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi, for BPE models with byte fallback.
 
 Blanks become U+2581 and one goes before the text; no piece holds a blank after another character, so a text is
-encoded word by word, distinct words once. Words of equal length advance together, one character a step: the hash of
-every substring that ends there probes the sorted piece keys, and of the pieces that may follow the piece at their
-start the maximum wins and is the backpointer. A model of merges has no additive score whose best path is its own
+encoded word by word, distinct words once; long words are cut first where no piece holds the two characters side by
+side, which no merge can cross. Words of equal length advance together, one character a step: the hashes of substrings
+probe the sorted keys of pieces and of their beginnings, and a start that begins no piece any more is left. Of the
+pieces that end at a step and may follow the piece at their start the maximum wins and is the backpointer. A model of merges has no additive score whose best path is its own
 encoding (the sum of piece scores gives other pieces than the library), so a path's score here is minus infinity
 unless each two neighbours are what the merges make of their joint text; then one path is left for each prefix. That
 neighbour test undoes the merges of both pieces in turn and looks for a merge across the gap that comes first; its
@@ -35,6 +36,8 @@ from lakesift.llm.wordhash import row_chunks, text_buffers
 BLANK = "▁"
 KEPT_WORDS = 1_000_000  # words a worker keeps the pieces of
 PAIR_SLOTS = 1 << 20  # answers of the neighbour test that a worker keeps
+LONG_WORD = 24  # characters from which a word is cut where it can be
+SIEVE_BITS = 20
 FAR = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -52,6 +55,10 @@ class Pieces:
     hashes: np.ndarray  # by rank
     left: np.ndarray  # by rank; itself for characters
     right: np.ndarray
+    begin_keys: np.ndarray  # sorted hashes of all beginnings of pieces, whole ones too
+    begin_rank: np.ndarray  # of the piece, -1: a beginning alone
+    begin_sieve: np.ndarray  # by the first bits of a hash: whether any beginning has them
+    joined: np.ndarray  # sorted codes of two characters that stand side by side in a piece
     longest: int
     runs: dict[int, int]  # id of a run of so many blanks
     byte_ids: np.ndarray
@@ -98,6 +105,12 @@ def load(path: str) -> Pieces:
     rank = {t: r for r, t in enumerate(order)}
     hashes = np.array([_hash([ord(c) for c in t]) for t in order], np.uint64)
     by_key = np.argsort(hashes, kind="stable")
+    begins = {t[:k]: -1 for t in order for k in range(1, len(t))} | rank
+    begin_hash = np.array([_hash([ord(c) for c in t]) for t in begins], np.uint64)
+    by_begin = np.argsort(begin_hash, kind="stable")
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[(begin_hash >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+    joined = np.array(sorted({ord(a) << 21 | ord(b) for t in order for a, b in itertools.pairwise(t)}), np.int64)
     size = np.array([len(t) for t in order], np.int64)
     byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
     parts = [t.replace(BLANK, " ").encode() for t in texts]
@@ -107,6 +120,7 @@ def load(path: str) -> Pieces:
         hashes[by_key], by_key.astype(np.int64), size[by_key], np.array([id_of.get(t, -1) for t in order], np.int64), size, hashes,
         np.array([rank[splits[t][0]] if t in splits else rank[t] for t in order], np.int64),
         np.array([rank[splits[t][1]] if t in splits else rank[t] for t in order], np.int64),
+        begin_hash[by_begin], np.array(list(begins.values()), np.int64)[by_begin], sieve, joined,
         int(size.max()), run_ids, byte_ids,
         np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]),
     )
@@ -169,29 +183,47 @@ class Encoder:
             self.pair_keys[slot[miss]], self.pair_ok[slot[miss]] = pair[miss], ok[miss]
         return ok
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """The token ids of words of equal length."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of words of equal length, tokens of each)."""
         p, n, length = self.p, len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length).astype(np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length).T.astype(np.uint64)
         run = np.zeros((length + 1, n), np.uint64)
+        for i in range(1, length + 1):
+            run[i] = run[i - 1] * _BASE + codes[i - 1] + np.uint64(1)
+        flat = run.ravel()
+        # Of each size the (end, word) places and pieces, in order of ends.
+        ending: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        live = np.arange(length * n)  # start * n + word
+        for size in range(1, min(length, p.longest) + 1):
+            live = live[: np.searchsorted(live, (length - size + 1) * n)]
+            h = flat[live + size * n] - flat[live] * self.power[size]
+            some = np.flatnonzero(p.begin_sieve[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
+            h = h[some]
+            at = np.searchsorted(p.begin_keys, h)
+            at[at == len(p.begin_keys)] = 0
+            hit = np.flatnonzero(p.begin_keys[at] == h)
+            live, piece = live[some[hit]], p.begin_rank[at[hit]]
+            made = np.flatnonzero(piece >= 0)
+            if len(made):
+                end = live[made] // n + size
+                ending.append((size, live[made] % n, piece[made], np.searchsorted(end, np.arange(length + 2))))
+            if not len(live):
+                break
         last = np.full((length + 1, n), -1, np.int64)  # rank of the piece that ends here; -2: a character that is none
         back = np.ones((length + 1, n), np.int64)
         for i in range(1, length + 1):
-            run[i] = run[i - 1] * _BASE + codes[:, i - 1] + np.uint64(1)
-            best = np.zeros(n, np.int64)
             last[i] = -2
-            for size in range(1, min(i, p.longest) + 1):
-                piece = self._find(run[i] - run[i - size] * self.power[size], size)
-                at = np.flatnonzero(piece >= 0)
-                if not len(at):
+            for size, word, piece, limits in ending:  # larger sizes come later and win
+                a, b = limits[i], limits[i + 1]
+                if a == b:
                     continue
+                at, own = word[a:b], piece[a:b]
                 before = last[i - size][at]
-                free = before < 0
-                ok = free.copy()
-                ok[~free] = self._may_follow(before[~free], piece[at[~free]])
+                ok = before < 0
+                held = np.flatnonzero(~ok)
+                ok[held] = self._may_follow(before[held], own[held])
                 at = at[ok]
-                at = at[size > best[at]]
-                best[at], last[i, at], back[i, at] = size, piece[at], size
+                last[i, at], back[i, at] = own[ok], size
         # Backwards along the pointers, all words at once; characters that are no piece are marked.
         taken = np.full((n, length), -1, np.int64)
         where = np.full(n, length)
@@ -201,16 +233,22 @@ class Encoder:
             taken[rows, at - 1] = last[at, rows]
             where[rows] = at - back[at, rows]
             rows = rows[where[rows] > 0]
-        out = []
-        for k in range(n):
-            ends = np.flatnonzero(taken[k] != -1)
-            ranks = taken[k, ends]
-            ids = np.where(ranks >= 0, p.ids[ranks], -1)
-            if (ids < 0).any():
-                parts = [[i] if i >= 0 else p.byte_ids[list(words[k][e].encode())].tolist() for i, e in zip(ids.tolist(), ends.tolist(), strict=True)]
-                ids = np.array(list(itertools.chain.from_iterable(parts)), np.int64)
-            out.append(ids.astype(np.int32))
-        return out
+        word, end = np.nonzero(taken != -1)
+        ranks = taken[word, end]
+        ids = np.where(ranks >= 0, p.ids[ranks], -1).astype(np.int32)
+        bare = np.flatnonzero(ids < 0)
+        if not len(bare):
+            return ids, np.bincount(word, minlength=n)
+        # Characters that are no piece become their bytes.
+        letters, kind = np.unique(codes[end[bare], word[bare]], return_inverse=True)
+        raw = [np.frombuffer(chr(c).encode(), np.uint8) for c in letters.tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[bare] = np.array([len(r) for r in raw])[kind]
+        out, first = np.repeat(ids, times), np.cumsum(times) - times
+        for at in range(4):
+            more = np.flatnonzero(times[bare] > at)
+            out[first[bare[more]] + at] = p.byte_ids[np.array([r[at] if len(r) > at else 0 for r in raw])[kind[more]]]
+        return out, np.bincount(word, times, n).astype(np.int64)
 
     def _blanks(self, n: int) -> list[int]:
         out = []
@@ -219,34 +257,63 @@ class Encoder:
             n %= size
         return out
 
+    def _cut(self, word: str) -> list[str]:
+        """A long word's parts between characters that no piece holds side by side."""
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pair = codes[:-1] << 21 | codes[1:]
+        at = np.searchsorted(self.p.joined, pair)
+        at[at == len(self.p.joined)] = 0
+        limits = [0, *(np.flatnonzero(self.p.joined[at] != pair) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in itertools.pairwise(limits)]
+
     def _learn(self, units: list[str]) -> None:
         """Encodes words that aren't known yet; a unit is a run of blanks and a word."""
         bare = {u: (BLANK + w if len(w) < len(u) else w) for u in units if (w := u.lstrip(BLANK))}
+        cut = {w: self._cut(w) for w in set(bare.values()) if len(w) >= LONG_WORD}
         by_length: dict[int, list[str]] = {}
-        for w in set(bare.values()):
+        for w in {*(w for w in bare.values() if len(w) < LONG_WORD), *itertools.chain.from_iterable(cut.values())}:
             by_length.setdefault(len(w), []).append(w)
-        done: dict[str, np.ndarray] = {}
+        place: dict[str, int] = {}
+        found, many = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for length, words in by_length.items():
             most = max(1, 2_000_000 // length)
             for at in range(0, len(words), most):
                 part = words[at : at + most]
-                done.update(zip(part, self.viterbi(part), strict=True))
-        new: list[np.ndarray] = []
-        for u in units:
+                place.update(zip(part, range(len(place), len(place) + len(part)), strict=True))
+                ids, counts = self.viterbi(part)
+                found.append(ids)
+                many.append(counts)
+        pool, n = np.concatenate(found), np.concatenate(many)
+        first = np.cumsum(n) - n
+
+        def of(word: str) -> np.ndarray:
+            if word in cut:
+                return np.concatenate([of_part(part) for part in cut[word]])
+            return of_part(word)
+
+        def of_part(word: str) -> np.ndarray:
+            k = place[word]
+            return pool[first[k] : first[k] + n[k]]
+
+        plain = [u for u in units if u in place]
+        index = np.fromiter(map(place.__getitem__, plain), np.int64, len(plain))
+        sizes = n[index]
+        new = [pool[np.repeat(first[index] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]]
+        others = [u for u in units if u not in place]
+        for u in others:
             w = bare.get(u)
             if w is None:
                 ids = np.array(self._blanks(len(u)), np.int32)
             else:
-                ids, extra = done[w], len(u) - len(w)
+                ids, extra = of(w), len(u) - len(w)
                 if extra and ids[0] == self.p.runs[1]:
                     ids = np.concatenate([np.array(self._blanks(extra + 1), np.int32), ids[1:]])
                 elif extra:
                     ids = np.concatenate([np.array(self._blanks(extra), np.int32), ids])
-            self.known[u] = len(self.sizes) + len(new)
             new.append(ids)
-        if new:
-            self.flat = np.concatenate([self.flat, *new])
-            self.sizes = np.concatenate([self.sizes, [len(ids) for ids in new]])
+        self.known.update(zip([*plain, *others], range(len(self.sizes), len(self.sizes) + len(units)), strict=True))
+        self.flat = np.concatenate([self.flat, *new])
+        self.sizes = np.concatenate([self.sizes, sizes, [len(ids) for ids in new[1:]]]).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, tokens of each)."""
