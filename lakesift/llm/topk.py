@@ -23,7 +23,6 @@ than k candidates give fewer rows; an empty table gives no rows. Other columns a
 from __future__ import annotations
 
 import functools
-import heapq
 import operator
 from collections.abc import Iterator
 
@@ -38,7 +37,8 @@ SCALE = 256
 PIVOTS = 32
 PIVOT_SAMPLE = 2048
 BLOCK = 4096  # rows of a block, about
-LEAF, ASK_LEAF = 512, 64  # members up to which a node may stay whole: of data, of queries
+LEAF, ASK_LEAF = 16, 8  # members up to which a node stays whole: of data, of queries
+STEP = 2048  # node pairs that are settled or split together
 CHUNK = 32768  # queries that are broadcast at once, or those of one block
 EXACT = 2.0**53
 
@@ -87,7 +87,7 @@ def cover_tree(x: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.nda
                 d = _gaps(x[own], x[own[net[-1]]])
                 nearest = np.where(d < near, len(net) - 1, nearest)
                 near = np.minimum(near, d)
-            # A node of up to `leaf` members is split only if that halves its radius; in many dimensions it doesn't.
+            # A node of up to `leaf` members is split only if that halves its radius.
             if len(net) > 1 and (len(own) > leaf or near.max() <= nodes[at][4] / 2):
                 by = np.argsort(nearest, kind="stable")
                 order[first:last] = own[by]
@@ -112,12 +112,9 @@ class Tree:
         order, nodes, centres = cover_tree(x, leaf)
         return Tree(ids[order], x[order], nodes, centres)
 
-    def children(self, node: int) -> range:
-        first, n = int(self.nodes[node, 2]), int(self.nodes[node, 3])
-        return range(first, first + n)
-
-    def span(self, node: int) -> slice:
-        return slice(int(self.nodes[node, 0]), int(self.nodes[node, 1]))
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """(first, last, first child, children) of all nodes as whole numbers."""
+        return tuple(self.nodes[:, k].astype(np.int64) for k in range(4))
 
 
 def _narrow(x: np.ndarray) -> tuple[str, bytes]:
@@ -166,35 +163,56 @@ class Best:
                 self.worst[r] = float(self.scores[r][-1])
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def walk(q: Tree, x: Tree, best: Best) -> int:
     """Compares two trees; returns how many (query, vector) products it needed."""
-    done = 0
-    dim = max(q.centres.shape[1], x.centres.shape[1])
+    if not len(q.ids) or not len(x.ids):
+        return 0
+    done, dim = 0, max(q.centres.shape[1], x.centres.shape[1])
     qc, xc = _padded(q.centres, dim), _padded(x.centres, dim)
-
-    def bound(a: int, b: int) -> float:
-        ra, rb = q.nodes[a, 4], x.nodes[b, 4]
-        top = float(qc[a] @ xc[b]) + q.norms[a] * rb + x.norms[b] * ra + ra * rb
-        return top + 1e-9 * (abs(top) + q.norms[a] * x.norms[b] + 1)  # float sums may round down
-
-    # Best first: a query group meets its promising partners before the others, which its worst score then rules out.
-    heap = [(-bound(0, 0), 0, 0)]
-    while heap:
-        top, a, b = heapq.heappop(heap)
-        rows, cols = q.span(a), x.span(b)
-        if rows.start == rows.stop or cols.start == cols.stop or -top < best.worst[rows].min():
-            continue
-        split_a, split_b = q.children(a), x.children(b)
-        if not split_a and not split_b:
+    q_radius, x_radius = q.nodes[:, 4], x.nodes[:, 4]
+    q_first, q_last, q_child, q_many = q.columns()
+    x_first, x_last, x_child, x_many = x.columns()
+
+    def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        top = np.einsum("ij,ij->i", qc[a], xc[b]) + q.norms[a] * x_radius[b] + x.norms[b] * q_radius[a] + q_radius[a] * x_radius[b]
+        return top + 1e-9 * (np.abs(top) + q.norms[a] * x.norms[b] + 1)  # float sums may round down
+
+    def worst() -> np.ndarray:
+        """The worst k-th score of each query node."""
+        return np.minimum.reduceat(np.append(best.worst, np.inf), np.stack([q_first, q_last], axis=1).ravel())[::2]
+
+    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    top = bounds(a, b)
+    while len(a):
+        # Best first: a query group meets its promising partners before the others, which its worst score then rules out.
+        live = np.flatnonzero(top >= worst()[a])
+        live = live[np.argsort(-top[live], kind="stable")]
+        now, later = live[:STEP], live[STEP:]
+        one, two = a[now], b[now]
+        a, b, top = a[later], b[later], top[later]
+        leaf = (q_many[one] == 0) & (x_many[two] == 0)
+        # Leaves: all partners of a query leaf at once.
+        asks, parts = one[leaf], two[leaf]
+        by = np.argsort(asks, kind="stable")
+        asks, parts = asks[by], parts[by]
+        for k, n in zip(*np.unique(asks, return_index=True), strict=True):
+            own = parts[n : np.searchsorted(asks, k, side="right")]
+            cols = _spread(x_first[own], x_last[own] - x_first[own])
+            rows = slice(int(q_first[k]), int(q_last[k]))
             scores = products(q.x[rows], x.x[cols])
             done += scores.size
             best.add(rows, x.ids[cols], scores)
-        elif split_b and (not split_a or x.nodes[b, 4] >= q.nodes[a, 4]):
-            for c in split_b:
-                heapq.heappush(heap, (-bound(a, c), a, c))
-        else:
-            for c in split_a:
-                heapq.heappush(heap, (-bound(c, b), c, b))
+        one, two = one[~leaf], two[~leaf]
+        data = (x_many[two] > 0) & ((q_many[one] == 0) | (x_radius[two] >= q_radius[one]))
+        many = np.where(data, x_many[two], q_many[one])
+        child = _spread(np.where(data, x_child[two], q_child[one]), many)
+        side = np.repeat(data, many)
+        new_a, new_b = np.where(side, np.repeat(one, many), child), np.where(side, child, np.repeat(two, many))
+        a, b, top = np.concatenate([a, new_a]), np.concatenate([b, new_b]), np.concatenate([top, bounds(new_a, new_b)])
     return done
 
 
