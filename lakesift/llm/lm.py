@@ -38,8 +38,8 @@ HELD_WORDS = 400_000  # distinct words a task holds counts of at a time
 SEGMENT = 64
 START_DOCS = 400
 START_BYTES = 16 << 10
-LANES, TRAIN_LANES = 256, 96
-START_RATE, RATE = 0.01, 0.005
+LANES, TRAIN_LANES = 256, 512
+START_RATE, RATE = 0.01, 0.015
 CHUNK = 3 << 20  # bytes of text scored together
 END = np.uint64(0xE0D0FA11D0C5)
 PART = 8192  # weights in a block of the average
