@@ -33,6 +33,15 @@ BOILERPLATE = (
     "lorem ipsum",
     "click here to",
     "sign up for our newsletter",
+    "alle rechte vorbehalten",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "tous droits réservés",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "todos los derechos reservados",
+    "términos de uso",
+    "política de privacidad",
 )
 
 
@@ -75,8 +84,9 @@ def _covered(windows: Column, window: int) -> Column:
 
 
 def _line_fails(line: Column, rules: Rules) -> Column:
-    words = F.size(F.array_remove(F.split(line, " "), ""))
-    tail = F.rtrim(line)
+    bare = F.translate(line, SPACES, " " * len(SPACES))  # tabs and carriage returns part and end words like blanks
+    words = F.size(F.array_remove(F.split(bare, " "), ""))
+    tail = F.rtrim(bare)
     ended = F.right(tail, F.lit(1)).isin(*TERMINAL)
     lower = F.lower(line)
     boiler = F.lit(False)
@@ -174,12 +184,13 @@ def oracle(source: str = "documents", rules: Rules = Rules()) -> str:
     """The same rules in DuckDB's SQL, one row a document, with clean_text."""
     k = rules.window
     terminal = ", ".join("'" + t.replace("'", "''") + "'" for t in TERMINAL)
-    boiler = " OR ".join(f"contains(lower(x), '{b}')" for b in BOILERPLATE)
+    boiler = " OR ".join(f"contains(lower(x), '{b.replace(chr(39), chr(39) * 2)}')" for b in BOILERPLATE)
     words = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
-    n_line = "len(list_filter(string_split(x, ' '), lambda w: w <> ''))"
+    bare = "translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '      ')"
+    n_line = f"len(list_filter(string_split({bare}, ' '), lambda w: w <> ''))"
     hits = lambda c: f"(length(x) - length(regexp_replace(x, '{c}', '', 'g')))"
     fails = (
-        f"{n_line} > 0 AND ((NOT (right(rtrim(x), 1) IN ({terminal})) AND {n_line} < {rules.unpunctuated_words})"
+        f"{n_line} > 0 AND ((NOT (right(rtrim({bare}), 1) IN ({terminal})) AND {n_line} < {rules.unpunctuated_words})"
         f" OR {hits(_in(SYMBOLS))} * 100 > {n_line} * {rules.line_symbol_percent}"
         f" OR {hits('!')} * 100 > {n_line} * {rules.line_shout_percent}"
         f" OR {hits('[|]')} >= {rules.nav_bars} OR {boiler})"
