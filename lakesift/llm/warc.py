@@ -12,7 +12,8 @@ number of records. Readers stream through one file a time.
 Defined results: a null payload is empty; an empty payload has a digest and may be revisited like any other; null
 or blank URLs become urn:page:<id>; white space in a URL is escaped; repeated rows give repeated records, of which
 those that are not the one with the largest id are revisits (rows that share the largest id are all responses);
-rows without an id have none to refer by and keep null; an empty table gives an empty archive and no rows. Extra
+rows without an id have none to refer by and keep null; a header line may have any length; version 1 has no field for
+the page's number, so records of such archives come back with a null page_id; an empty table gives an empty archive and no rows. Extra
 columns are not read.
 """
 
@@ -72,7 +73,7 @@ class _Source:
         self.file = io.BufferedReader(_Unzipped(content), 1 << 18) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
     def line(self) -> bytes:
-        return self.file.readline(1 << 16)
+        return self.file.readline()
 
     def take(self, n: int) -> bytes:
         out = self.file.read(n)
