@@ -7,7 +7,7 @@ The previous snapshot holds all files; the current one drops every 11th, edits e
 from __future__ import annotations
 
 from lakesift.functions.dialect import Dialect
-from lakesift.operators.rules import findings
+from lakesift.operators.rules import findings, lines
 from lakesift.sources.bundles import URL, files
 
 #: Weights and caps of the update score.
@@ -168,8 +168,9 @@ def q_override_audit(d: Dialect) -> str:
 
 
 def q_infer_rule_id(d: Dialect) -> str:
-    rows = d.values([(1, "RAW_IP_URL: bad host"), (2, "read failed: LARGE_TEXT_FILE at 3"), (3, "nothing here"), (4, "ABC: x"), (5, "")], ["id", "message"])
-    a, b = d.find("message", "^([A-Z0-9_]+): ", 1), d.find("message", "([A-Z0-9]+(?:_[A-Z0-9]+)+)", 1)
+    rows = d.values([(1, "RAW_IP_URL: bad host"), (2, "read failed: LARGE_TEXT_FILE at 3"), (6, "read failed: LARGE_TEXT_FILE: at 3"), (3, "nothing here"), (4, "ABC: x"), (5, "")], ["id", "message"])
+    # An id stands at the start, or anywhere if it has an underscore; a colon and white space follow it.
+    a, b = d.find("trim(message)", r"^([A-Z][A-Z0-9_]+):\s", 1), d.find("message", r"(?:^|[^A-Z0-9_])([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+):\s", 1)
     return f"SELECT id, CASE WHEN {a} <> '' THEN {a} ELSE {b} END AS rule_id FROM {rows} m"
 
 
@@ -209,12 +210,12 @@ def q_shell_norm(d: Dialect) -> str:
 def q_enc_candidates(d: Dialect) -> str:
     """Hex and base64 tokens of a line that may hold text, 16 at most."""
     sep = r"[\s\x22\x27\x60,;:()\[\]{}<>|]+"
-    toks = d.lambda_("filter", d.pieces(d.swap("text", sep, " "), " "), "t", "t <> ''")
+    toks = d.lambda_("filter", d.pieces(d.swap("line_text", sep, " "), " "), "t", "t <> ''")
     hexed = lambda t: f"({d.hit(t, '^(?:0[xX])?(?:[0-9A-Fa-f]{2})+$')} AND length({t}) >= 64)"
     b64 = lambda t: f"({d.hit(t, '^[A-Za-z0-9+/_-]+=*$')} AND {d.size(t)} >= 40)"
     kept = d.part(d.lambda_("filter", toks, "t", f"{hexed('t')} OR {b64('t')}"), 1, 16)
-    return f"""WITH {files(d)}, c AS (SELECT bundle, path, {kept} AS found FROM files WHERE {d.hit("text", "[A-Za-z0-9+/_=-]{40}")})
-SELECT bundle, path, nth, token, CASE WHEN {hexed("token")} THEN 'hex' ELSE 'base64' END AS kind FROM {d.rows("found", "token", "nth", "c")}"""
+    return f"""WITH {lines(d)}, c AS (SELECT bundle, path, line, {kept} AS found FROM lines WHERE {d.hit("line_text", "[A-Za-z0-9+/_=-]{40}")})
+SELECT bundle, path, line, nth, token, CASE WHEN {hexed("token")} THEN 'hex' ELSE 'base64' END AS kind FROM {d.rows("found", "token", "nth", "c")}"""
 
 
 def q_ref_links(d: Dialect) -> str:

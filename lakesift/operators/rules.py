@@ -11,8 +11,62 @@ from lakesift.sources.bundles import files
 
 FETCH = r"(?:curl|wget|fetch|iwr|invoke-webrequest)"
 SHELL = r"(?:ba|z|k|da)?sh|python[0-9.]*|node|perl|ruby|pwsh|powershell"
+#: Words that follow one another with at most so many characters between.
+OVERRIDE = (("ignore", "override", "bypass"), 80, ("previous", "prior", "system", "higher", "earlier"), 40, ("instruction", "instructions", "prompt", "prompts"))
+PREREQUISITE = (("required", "required prerequisite", "you must", "before use"), 120, ("download", "install"), 200, ("run", "execute", "bash", "sh", "powershell", "chmod +x"))
+PASSWORDS = ("password", "passphrase", "passwd", "encrypted")
+ARCHIVES = ("zip", "7z", "rar", "archive", "tar", "tgz", "tar.gz")
+ARCHIVE_GAP = 80
+#: Markup, hosts and paths that rules look for.
+TAGS = ("script", "iframe", "object", "embed", "form", "link", "meta", "img", "svg", "video", "audio")
+SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "cutt.ly", "rb.gy", "shorturl.at")
+PASTE_SITES = ("pastebin.com", "hastebin.com", "ghostbin.com", "dpaste.com", "gist.github.com", "gist.githubusercontent.com")
+HOME_PATHS = (
+    "~/.bashrc", "~/.zshrc", "~/.profile", "~/.bash_profile", "~/.config/fish/config.fish", "~/.ssh/config", "~/.ssh/authorized_keys",
+    "~/library/launchagents/", "/etc/profile", "/etc/bash.bashrc", "/etc/zsh/zshrc", "/etc/cron.d/", "/etc/cron.daily/", "/etc/cron.hourly/",
+    "/etc/cron.weekly/", "/etc/cron.monthly/", "/var/spool/cron/",
+)
+HOME_WRITES = (">>", ">|", "| tee", "tee -a", " cp ", " mv ", " install ")
+HOME_COMMANDS = ("cp ", "mv ", "install ")
+CRONTAB = ("| crontab", "|crontab", "crontab -e")
+SECRETS = (".env", "~/.ssh/", "/.ssh/", "~/.aws/", "/.aws/", "id_rsa", "id_ed25519", "credentials", "api_key", "token", "cookies", "keychain", "wallet")
+SENDERS = ("curl", "wget", "invoke-webrequest", "invoke-restmethod", "requests.post", "netcat", "nc")
+SENT = ("| curl", "|curl", "| wget", "|wget", "-d ", "--data", "--upload-file", "requests.post", "invoke-restmethod", "invoke-webrequest", "-f ")
+LARGE_BYTES = 500_000
+
+
+def words(group: tuple[str, ...]) -> str:
+    return r"\b(?:" + "|".join(w.replace(".", r"\.").replace("+", r"\+") for w in group) + r")\b"
+
+
+def in_turn(*steps) -> str:
+    """A pattern for groups of words with gaps of at most so many characters between them."""
+    return "".join(words(s) if isinstance(s, tuple) else f".{{0,{s}}}" for s in steps)
+
+
+def on_host(hosts: tuple[str, ...]) -> str:
+    return r"(?i)\bhttps?://(?:[a-z0-9-]+\.)*(?:" + "|".join(h.replace(".", r"\.") for h in hosts) + r")(?:[:/?#\s]|$)"
+
+
+def holds(d: Dialect, x: str, parts: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, {d.text(p)})" for p in parts) + ")"
+
+
+def writes_home(d: Dialect, x: str) -> str:
+    """A known start-up or schedule file next to a way to write it, or a crontab taken from a command."""
+    low, bare = f"lower({x})", f"ltrim(lower({x}))"
+    begins = " OR ".join(f"left({bare}, {len(c)}) = {d.text(c)}" for c in HOME_COMMANDS)
+    return f"({holds(d, low, CRONTAB)} OR ({holds(d, low, HOME_PATHS)} AND ({holds(d, low, HOME_WRITES)} OR {begins})))"
+
+
+def sends_secret(d: Dialect, x: str) -> str:
+    """A place of secrets, a command that sends, an address, and a way to hand data over."""
+    low = f"lower({x})"
+    return f"({holds(d, low, SECRETS)} AND {holds(d, low, ('http://', 'https://'))} AND {holds(d, low, SENT)} AND {d.hit(low, words(SENDERS))})"
+
+
 #: Rule ids with their severities; the patterns say what each looks for.
-RULES: list[tuple[str, str, bool, str]] = [
+RULES: list[tuple] = [
     ("ANSI_OSC_ESCAPE_IN_TEXT", "critical", False, r"\x1b[\[\]]"),
     ("UNICODE_TAG_IN_INSTRUCTIONS", "critical", False, r"[\x{E0000}-\x{E007F}]"),
     ("BIDI_CONTROL_IN_TEXT", "critical", False, r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"),
@@ -30,20 +84,31 @@ RULES: list[tuple[str, str, bool, str]] = [
         rf"(?i)\bbase64\b[^|]{{0,120}}\s(?:-d|--decode)\b[^|]{{0,120}}\|\s*(?:{SHELL})\b|\bfrombase64string\b.{{0,120}}\biex\b|\b(?:exec|eval)\b.{{0,80}}\bb(?:ase)?64_?decode\b",
     ),
     ("HEX_PIPE_EXEC", "critical", False, rf"(?i)\bxxd\s+-r\b[^|]{{0,120}}\|\s*(?:{SHELL})\b|\b(?:exec|eval)\b.{{0,80}}\b(?:unhexlify|fromhex|hexdecode)\b"),
-    ("ENCODED_COMMAND_EXEC", "critical", False, r"(?i)\b(?:pwsh|powershell)(?:\.exe)?\b.{0,200}\s[-/]enc(?:odedcommand)?[\s:=]"),
-    ("WRITES_HOME_CONFIG", "high", False, r"(?i)\|\s*crontab\b|\bcrontab\s+-e\b|(?:>>|>\||\btee\b|\bcp\b|\bmv\b|\binstall\b).{0,120}(?:\.bashrc|\.zshrc|\.profile|\.ssh/|\.gitconfig|\.aws/)"),
-    ("SECRET_EXFIL", "critical", False, r"(?i)(?:\.env|id_rsa|api_key|access_token|\.aws/credentials).{0,200}\|\s*(?:curl|wget)\b.{0,200}https?://"),
-    ("ALLOWED_TOOLS_BASH_WILDCARD", "high", False, r"(?i)allowed[-_ ]tools.{0,80}bash.{0,40}(?:\*|\ball\b)|\bbash\(\*\)"),
+    ("ENCODED_COMMAND_EXEC", "critical", False, r"(?i)(?:^|\s)[^\sa-z0-9]*(?:pwsh|powershell)(?:\.exe)?[^\sa-z0-9]*\s(?:.*\s)?[-/]*enc(?:odedcommand)?(?:[\s:=]|$)"),
+    ("WRITES_HOME_CONFIG", "high", False, writes_home),
+    ("SECRET_EXFIL", "critical", False, sends_secret),
+    (
+        "ALLOWED_TOOLS_BASH_WILDCARD", "high", False,
+        r"(?i)\ballowed(?:[_ -]?tools?)\b.*\bbash\b.*(?:\*|\ball\b)|\bbash\b.*(?:\*|\ball\b).*allowed(?:[_ -]?tools?)\b"
+        r"|\btool(?:[_ -]?permissions?)\b.*\bbash\b.*(?:\*|\ball\b)|\bbash\s*\(\s*\*\s*\)",
+    ),
     ("UNPINNED_RUNTIME_TOOL", "high", False, r"(?i)\b(?:npx|uvx|bunx)\s+(?:-y\s+)?@?[a-z0-9][a-z0-9._/-]*(?:@(?:latest|next|\^|~|>|<|\*)\S*)?(?:\s|$)"),
-    ("FAKE_PREREQ_EXECUTION", "critical", True, r"(?i)\bprerequisites?\b.{0,120}\b(?:download|install)\b.{0,200}\b(?:run|execute|bash|sh|powershell|chmod \+x)\b"),
-    ("EXTERNAL_BINARY_DOWNLOAD", "high", True, r"(?i)https?://[^\s)>\x22]+\.(?:zip|exe|msi|dmg|pkg|tar\.gz|tgz)\b"),
-    ("PROMPT_OVERRIDE_LANGUAGE", "high", True, r"(?i)\b(?:ignore|disregard|forget|override)\b.{0,80}\b(?:previous|prior|above|earlier|system)\b.{0,40}\b(?:instructions?|prompts?)\b"),
-    ("PASSWORD_PROTECTED_ARCHIVE", "high", True, r"(?i)\bpassword\b.{0,80}\b(?:zip|rar|7z|archive)\b|\b(?:zip|rar|7z|archive)\b.{0,80}\bpassword\b"),
-    ("RAW_HTML_MARKUP", "medium", True, r"(?i)<\s*/?\s*(?:script|iframe|object|embed|form|img|svg|style|link|meta|html)\b"),
+    ("FAKE_PREREQ_EXECUTION", "critical", True, "(?i)" + in_turn(*PREREQUISITE)),
+    ("EXTERNAL_BINARY_DOWNLOAD", "high", True, r"(?i)\bhttps?://\S+\.(?:zip|exe|msi|dmg|pkg|tar\.gz|tgz)\b"),
+    ("PROMPT_OVERRIDE_LANGUAGE", "high", True, "(?i)" + in_turn(*OVERRIDE)),
+    ("PASSWORD_PROTECTED_ARCHIVE", "high", True, "(?i)(?:" + in_turn(PASSWORDS, ARCHIVE_GAP, ARCHIVES) + "|" + in_turn(ARCHIVES, ARCHIVE_GAP, PASSWORDS) + ")"),
+    ("RAW_HTML_MARKUP", "medium", True, r"(?i)<\s*(?:" + "|".join(TAGS) + r")\b"),
     ("RAW_IP_URL", "high", False, r"(?i)\bhttps?://(?:[^/\s@]*@)?(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|0x[0-9a-f]+|[0-9]{8,10}|\[[0-9a-f:.]+\])(?:[:/?#\s]|$)"),
-    ("URL_SHORTENER", "medium", False, r"(?i)\bhttps?://(?:[a-z0-9-]+\.)*(?:bit\.ly|tinyurl\.com|t\.co|goo\.gl|is\.gd|ow\.ly|buff\.ly|rebrand\.ly|cutt\.ly|shorturl\.at)(?:[:/?#\s]|$)"),
-    ("PASTE_SITE_URL", "medium", False, r"(?i)\bhttps?://(?:[a-z0-9-]+\.)*(?:pastebin\.com|paste\.ee|hastebin\.com|ghostbin\.com|rentry\.co|dpaste\.org)(?:[:/?#\s]|$)"),
-    ("REMOTE_IMAGE_URL", "medium", True, r"(?i)(?:!\[|<img).{0,200}https?://[^\s)\x22]+\.(?:png|jpe?g|gif|svg|webp|bmp|ico|avif)\b"),
+    ("URL_SHORTENER", "medium", False, on_host(SHORTENERS)),
+    ("PASTE_SITE_URL", "medium", False, on_host(PASTE_SITES)),
+    ("REMOTE_IMAGE_URL", "medium", True, r"(?i)(?:!\[|<img).{0,200}https?://[^\s)\x22]+\.(?:png|jpe?g|gif|svg|webp|bmp|ico)\b"),
+    (
+        "RELEASE_ASSET_URL", "medium", False,
+        r"(?i)\bhttps?://(?:www\.)?(?:github\.com/[^\s?#]*/releases/(?:latest/)?download/"
+        r"|(?:api|uploads)\.github\.com/repos/[^/\s]+/[^/\s]+/releases/[0-9]+/assets/?(?:[?#\s\x22')\]]|$)"
+        r"|api\.github\.com/repos/[^/\s]+/[^/\s]+/releases/assets/[0-9]+/?(?:[?#\s\x22')\]]|$)"
+        r"|github-releases\.githubusercontent\.com(?:[:/?#\s]|$)|objects\.githubusercontent\.com/[^\s?#]*github-production-release-asset-)",
+    ),
 ]
 #: A rule is tried on lines that hold one of these, in lower case; rules of odd characters have none.
 NEEDLES: dict[str, tuple[str, ...]] = {
@@ -51,65 +116,108 @@ NEEDLES: dict[str, tuple[str, ...]] = {
     "BASE64_PIPE_EXEC": ("base64", "b64", "frombase"),
     "HEX_PIPE_EXEC": ("xxd", "hex"),
     "ENCODED_COMMAND_EXEC": ("pwsh", "powershell"),
-    "WRITES_HOME_CONFIG": ("crontab", ".bashrc", ".zshrc", ".profile", ".ssh/", ".gitconfig", ".aws/"),
-    "SECRET_EXFIL": ("http",),
+    "WRITES_HOME_CONFIG": ("crontab", *HOME_PATHS),
+    "SECRET_EXFIL": SECRETS,
     "ALLOWED_TOOLS_BASH_WILDCARD": ("bash",),
     "UNPINNED_RUNTIME_TOOL": ("npx", "uvx", "bunx"),
-    "FAKE_PREREQ_EXECUTION": ("prerequisite",),
+    "FAKE_PREREQ_EXECUTION": ("required", "you must", "before use"),
     "EXTERNAL_BINARY_DOWNLOAD": ("http",),
     "PROMPT_OVERRIDE_LANGUAGE": ("instruction", "prompt"),
-    "PASSWORD_PROTECTED_ARCHIVE": ("password",),
+    "PASSWORD_PROTECTED_ARCHIVE": PASSWORDS,
     "RAW_HTML_MARKUP": ("<",),
     "RAW_IP_URL": ("http",),
     "URL_SHORTENER": ("http",),
     "PASTE_SITE_URL": ("http",),
     "REMOTE_IMAGE_URL": ("http",),
+    "RELEASE_ASSET_URL": ("github",),
 }
 REJECTED = ("critical", "high")
+#: Rules whose findings come from relations of their own.
+MORE_RULES = [("CHMOD_EXEC_CHAIN", "critical", False), ("LARGE_TEXT_FILE", "medium", False), ("UNKNOWN_FILE_TYPE", "medium", False)]
+LOOK_AHEAD = 4  # lines that a continued line may take in
 ODD = r"[^ -~\t\r]"  # every character that a rule without needles looks for
 
 
 def rule_rows(d: Dialect) -> str:
-    return d.values([(i, s, md) for i, s, md, _ in RULES], ["rule_id", "severity", "markdown_only"])
+    return d.values([(i, s, md) for i, s, md, _ in RULES] + MORE_RULES, ["rule_id", "severity", "markdown_only"])
+
+
+def goes_on(d: Dialect, x: str) -> str:
+    """Whether a line continues on the next: it ends in a backslash, pipe or &&, or opens $( without any closing bracket."""
+    return f"({d.hit(x, r'(?:' + chr(92) * 2 + r'|[|]|&&)[ ]*$')} OR (contains({x}, '$' || '(') AND NOT contains({x}, ')')))"
 
 
 def lines(d: Dialect) -> str:
-    """CTEs up to `lines`: every line with its number from 1; lines without a visible character are left out."""
+    """CTEs up to `lines`: every line with its number from 1; lines without a visible character are left out.
+
+    Only a line that continues carries the lines that come after it, LOOK_AHEAD of them."""
     split = d.pieces(d.swap("text", "\r\n", "\n") if d.name == "spark" else "replace(text, chr(13) || chr(10), chr(10))", "\n")
-    exploded = d.rows("parts", "line_text", "pos", "split_files")
+    if d.name == "spark":
+        held = f"transform(parts, (x, i) -> named_struct('t', x, 'n', CASE WHEN {goes_on(d, 'x')} THEN slice(parts, i + 2, {LOOK_AHEAD}) END))"
+    else:
+        held = f"list_transform(range(1, len(parts) + 1), lambda i: {{'t': parts[i], 'n': CASE WHEN {goes_on(d, 'parts[i]')} THEN parts[i + 1:i + {LOOK_AHEAD}] END}})"
+    exploded = d.rows("held", "one", "pos", "held_files")
     return f"""{files(d)},
-split_files AS (SELECT bundle, path, kind, {split} AS parts FROM files WHERE kind <> 'unknown'),
-all_lines AS (SELECT bundle, path, kind, CAST(pos + 1 AS INT) AS line, line_text, parts FROM {exploded}),
-lines AS (SELECT bundle, path, kind, line, line_text, parts FROM all_lines WHERE {d.hit("line_text", r"[^\s]")})"""
+split_files AS (SELECT bundle, path, kind, {split} AS parts FROM files WHERE kind <> 'unknown' AND {d.size("text")} <= {LARGE_BYTES}),
+held_files AS (SELECT bundle, path, kind, {held} AS held FROM split_files),
+all_lines AS (SELECT bundle, path, kind, CAST(pos + 1 AS INT) AS line, one.t AS line_text, one.n AS nexts FROM {exploded}),
+lines AS (SELECT bundle, path, kind, line, line_text, nexts FROM all_lines WHERE {d.hit("line_text", r"[^\s]")})"""
 
 
 def variants(d: Dialect) -> str:
-    """CTEs up to `variants`: the line, and the line with the one it continues on (after a backslash, pipe or &&)."""
-    following = d.item("parts", "line")
-    bare = d.swap("line_text", r"\s*\\\s*$", "")
+    """CTEs up to `continued`: the line, and the line joined with those it continues on, as long as the joined text goes on."""
+    def trimmed(x: str) -> str:
+        return d.swap(x, r"^\s+|\s+$", "")
+
+    def segment(x: str) -> str:
+        return d.swap(trimmed(x), r"\s*\\$", "")
+
+    if d.name == "spark":
+        both = f"concat(a.j, ' ', {segment('x')})"
+        step = f"CASE WHEN a.c AND {d.hit('x', '[^' + chr(92) + 's]')} THEN named_struct('j', {both}, 'c', {goes_on(d, both)}, 'more', TRUE) ELSE named_struct('j', a.j, 'c', FALSE, 'more', a.more) END"
+        longer = f"aggregate(nexts, named_struct('j', {segment('line_text')}, 'c', TRUE, 'more', FALSE), (a, x) -> {step}, a -> CASE WHEN a.more THEN a.j END)"
+        return f"""{lines(d)},
+continued AS (SELECT bundle, path, kind, line, line_text, {longer} AS longer FROM lines)"""
+    # The oracle's way: a step a relation.
+    steps = [f"joined0 AS (SELECT *, {segment('line_text')} AS j, nexts IS NOT NULL AS c, FALSE AS more FROM lines)"]
+    for k in range(1, LOOK_AHEAD + 1):
+        item = d.item("nexts", str(k - 1))
+        grows = f"(c AND {d.hit(f'coalesce({item}, {d.text(chr(32))})', '[^' + chr(92) + 's]')})"
+        steps.append(
+            f"grown{k} AS (SELECT bundle, path, kind, line, line_text, nexts, more OR {grows} AS more, {grows} AS c, CASE WHEN {grows} THEN concat(j, ' ', {segment(item)}) ELSE j END AS j FROM joined{k - 1}),"
+            f" joined{k} AS (SELECT bundle, path, kind, line, line_text, nexts, more, c AND {goes_on(d, 'j')} AS c, j FROM grown{k})"
+        )
     return f"""{lines(d)},
-continued AS (
-  SELECT *, CASE WHEN {d.hit("line_text", r"(?:\\|\||&&)\s*$")} AND {d.hit(f"coalesce({following}, '')", r"[^\s]")}
-    THEN concat({bare}, ' ', {following}) END AS longer FROM lines)"""
+{", ".join(steps)},
+continued AS (SELECT bundle, path, kind, line, line_text, CASE WHEN more THEN j END AS longer FROM joined{LOOK_AHEAD})"""
 
 
 def findings(d: Dialect) -> str:
-    """CTEs up to `findings`: one projection with all rules, whose hits alone become rows."""
-    def fires(rule: str, md: bool, p: str) -> str:
-        test = f"({d.hit('line_text', p)} OR coalesce({d.hit('longer', p)}, FALSE))"
+    """CTEs up to `findings`: one projection with all line rules, whose hits alone become rows, and the other rules' rows.
+
+    A rule of odd characters is tried on the line itself, every other one on the joined line too."""
+    def fires(rule: str, md: bool, p) -> str:
+        test = p if callable(p) else lambda d, x: d.hit(x, p)
         if rule in NEEDLES:
-            test = f"(({' OR '.join(f'contains(low, {d.text(n)})' for n in NEEDLES[rule])}) AND {test})"
+            test = f"({holds(d, 'low', NEEDLES[rule])} AND ({test(d, 'line_text')} OR coalesce({test(d, 'longer')}, FALSE)))"
         else:
-            test = f"(odd AND {test})"
+            test = f"(odd AND {test(d, 'line_text')})"
         return f"(kind = 'markdown' AND {test})" if md else test
 
     hits = ", ".join(f"CASE WHEN {fires(i, md, p)} THEN '{i}' END" for i, _, md, p in RULES)
     array = f"array({hits})" if d.name == "spark" else f"[{hits}]"
     found = d.lambda_("filter", array, "x", "x IS NOT NULL")
     return f"""{variants(d)},
-tested AS (SELECT *, lower(coalesce(longer, line_text)) AS low, {d.hit("line_text", ODD)} OR coalesce({d.hit("longer", ODD)}, FALSE) AS odd FROM continued),
+tested AS (SELECT *, lower(concat(line_text, ' ', coalesce(longer, ''))) AS low, {d.hit("line_text", ODD)} AS odd FROM continued),
 matched AS (SELECT bundle, path, line, {found} AS ids FROM tested),
-hit_rows AS (SELECT bundle, path, line, rule_id FROM {d.rows("ids", "rule_id", "nth", "matched")}),
+{chmod_chains(d)},
+{fuzzy_hits(d)},
+hit_rows AS (
+  SELECT bundle, path, line, rule_id FROM {d.rows("ids", "rule_id", "nth", "matched")}
+  UNION ALL SELECT bundle, path, line, 'CHMOD_EXEC_CHAIN' AS rule_id FROM chains
+  UNION ALL SELECT bundle, path, line, 'PROMPT_OVERRIDE_LANGUAGE' AS rule_id FROM fuzzy
+  UNION ALL SELECT bundle, path, 0 AS line, 'LARGE_TEXT_FILE' AS rule_id FROM files WHERE kind <> 'unknown' AND {d.size("text")} > {LARGE_BYTES}
+  UNION ALL SELECT bundle, path, 0 AS line, 'UNKNOWN_FILE_TYPE' AS rule_id FROM files WHERE kind = 'unknown'),
 rules AS {rule_rows(d)},
 findings AS (SELECT DISTINCT bundle, path, line, r.rule_id, severity FROM hit_rows h JOIN rules r ON h.rule_id = r.rule_id)"""
 
@@ -168,45 +276,59 @@ def q_pages_html(d: Dialect) -> str:
     return f"SELECT page_id, {d.length(d.find_all('html', p))} AS n_tags FROM {d.table('pages')} WHERE {d.hit('html', p)}"
 
 
-def q_chmod_chain(d: Dialect) -> str:
-    """A target made executable in one command and run in a later one of the same line: an ordered self-join."""
+def chmod_chains(d: Dialect) -> str:
+    """CTE `chains`: a target made executable in one command and run in a later one of the same line, an ordered self-join."""
     cut = d.lambda_("filter", d.lambda_("transform", d.pieces(d.swap("line_text", r"&&|\|\|", ";"), ";"), "s", "trim(s)"), "s", "s <> ''")
     made = d.find("segment", r"(?i)^(?:sudo\s+)?chmod\s+\S*\+x\S*\s+(?:\./)?([^\s;]+)", 1)
     ran = d.find("segment", r"(?i)^(?:(?:sh|bash|zsh|pwsh|python|node)\s+)?(?:\./)?([^\s;]+)", 1)
-    return f"""WITH {lines(d)},
-cut AS (SELECT bundle, path, line, {cut} AS segments FROM lines WHERE {d.hit("line_text", "(?i)chmod")}),
+    return f"""cut AS (SELECT bundle, path, line, {cut} AS segments FROM lines WHERE {d.hit("line_text", "(?i)chmod")}),
 segs AS (SELECT bundle, path, line, segment, nth FROM {d.rows("segments", "segment", "nth", "cut")}),
-named AS (SELECT bundle, path, line, nth, {made} AS made, {ran} AS ran FROM segs)
-SELECT DISTINCT a.bundle, a.path, a.line, a.made AS target FROM named a
-JOIN named b ON a.bundle = b.bundle AND a.path = b.path AND a.line = b.line AND a.made = b.ran AND a.nth < b.nth
-WHERE a.made <> ''"""
+named AS (SELECT bundle, path, line, nth, {made} AS made, {ran} AS ran FROM segs),
+chains AS (
+  SELECT DISTINCT a.bundle, a.path, a.line, a.made AS target FROM named a
+  JOIN named b ON a.bundle = b.bundle AND a.path = b.path AND a.line = b.line AND a.made = b.ran AND a.nth < b.nth
+  WHERE a.made <> '')"""
+
+
+def q_chmod_chain(d: Dialect) -> str:
+    return f"WITH {lines(d)}, {chmod_chains(d)} SELECT bundle, path, line, target FROM chains"
 
 
-PHRASES = ["ignore previous instructions", "disregard all prior instructions", "reveal your system prompt"]
+#: Phrases that are looked for with their misspellings.
+PHRASES = [
+    "ignore previous instructions", "ignore all previous instructions", "disregard previous instructions", "override system prompt",
+    "bypass safety instructions",
+]
 
 
-def q_fuzzy_phrase(d: Dialect) -> str:
-    """Word windows within one edit of each word of a phrase, or with a word's inner letters shuffled."""
-    words = [(n, i, w) for n, p in enumerate(PHRASES) for i, w in enumerate(p.split())]
-    size = {n: len(p.split()) for n, p in enumerate(PHRASES)}
-    toks = d.lambda_("filter", d.pieces(d.swap("lower(line_text)", r"[^a-z]+", " "), " "), "w", "w <> ''")
+def fuzzy_hits(d: Dialect) -> str:
+    """CTE `fuzzy`: word windows of Markdown lines within one edit of each word of a phrase, or with a word's inner letters shuffled.
+
+    One edit leaves the first or the last letter as it is and the length within one: that is tested first."""
+    rows = [(n, i, w) for n, p in enumerate(PHRASES) for i, w in enumerate(p.split())]
+    want = " ".join(f"WHEN {n} THEN {len(p.split())}" for n, p in enumerate(PHRASES))
+    toks = d.lambda_("filter", d.pieces(d.swap("lower(line_text)", r"[^\pL]+", " "), " "), "w", "w <> ''")
 
     def inner(x: str) -> str:
         chars = f"split(substr({x}, 2, length({x}) - 2), '')" if d.name == "spark" else f"string_split(substr({x}, 2, length({x}) - 2), '')"
         return f"array_join(array_sort({chars}), '')" if d.name == "spark" else f"array_to_string(list_sort({chars}), '')"
 
-    near = f"""(t.word = p.word OR (length(t.word) >= 3 AND length(p.word) >= 3 AND {d.distance('t.word', 'p.word')} <= 1)
+    near = f"""abs(length(t.word) - length(p.word)) <= 1 AND (left(t.word, 1) = left(p.word, 1) OR right(t.word, 1) = right(p.word, 1))
+      AND (t.word = p.word OR (length(t.word) >= 3 AND length(p.word) >= 3 AND {d.distance('t.word', 'p.word')} <= 1)
       OR (length(t.word) >= 4 AND length(t.word) = length(p.word) AND left(t.word, 1) = left(p.word, 1)
         AND right(t.word, 1) = right(p.word, 1) AND {inner('t.word')} = {inner('p.word')}))"""
-    want = " ".join(f"WHEN {n} THEN {k}" for n, k in size.items())
-    return f"""WITH {lines(d)},
-toks AS (SELECT bundle, path, line, {toks} AS words FROM lines WHERE {d.hit("line_text", "(?i)(?:instruc|prompt)")}),
+    return f"""toks AS (SELECT bundle, path, line, {toks} AS words FROM lines WHERE kind = 'markdown'),
 words AS (SELECT bundle, path, line, word, nth AS place FROM {d.rows("words", "word", "nth", "toks")}),
-phrases AS {d.values(words, ["phrase", "nth", "word"])}
-SELECT DISTINCT bundle, path, line, phrase FROM (
-  SELECT bundle, path, line, p.phrase, t.place - p.nth AS begins, count(*) AS n FROM words t JOIN phrases p ON {near}
-  GROUP BY bundle, path, line, p.phrase, t.place - p.nth) w
-WHERE n = CASE phrase {want} END"""
+phrases AS {d.values(rows, ["phrase", "nth", "word"])},
+fuzzy AS (
+  SELECT DISTINCT bundle, path, line, phrase FROM (
+    SELECT bundle, path, line, p.phrase, t.place - p.nth AS begins, count(*) AS n FROM words t JOIN phrases p ON {near}
+    GROUP BY bundle, path, line, p.phrase, t.place - p.nth) w
+  WHERE n = CASE phrase {want} END)"""
+
+
+def q_fuzzy_phrase(d: Dialect) -> str:
+    return f"WITH {lines(d)}, {fuzzy_hits(d)} SELECT bundle, path, line, phrase FROM fuzzy"
 
 
 QUERIES = {
