@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakesift.llm import line_dedup, lm, mixing, ngram_join, pieces, quality, token_counts, topk, toxicity, warc
+from lakesift.llm import decontaminate, line_dedup, lm, mixing, ngram_join, pieces, quality, resample, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_top_k": topk.query,
     "op9_mix_sources": mixing.query,
     "op10_warc": warc.query,
+    "op11_decontaminate": decontaminate.query,
+    "op13_resample": resample.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op8_exact_top_k": topk.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op11_decontaminate": decontaminate.ORACLE_SQL,
+    "op13_resample": resample.ORACLE_SQL,
 }
