@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakesift.llm import decontaminate, line_dedup, lm, mixing, ngram_join, pieces, quality, resample, token_counts, topk, toxicity, warc
+from lakesift.llm import decontaminate, line_dedup, lm, mixing, ngram_join, pieces, prefix_trie, quality, resample, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.query,
     "op10_warc": warc.query,
     "op11_decontaminate": decontaminate.query,
+    "op12_prefix_trie": prefix_trie.query,
     "op13_resample": resample.query,
 }
 
@@ -27,5 +28,6 @@ ORACLE_SQL = {
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
     "op11_decontaminate": decontaminate.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op13_resample": resample.ORACLE_SQL,
 }
