@@ -20,7 +20,7 @@ def snapshots(d: Dialect) -> str:
     return f"""{files(d)},
 prev AS (SELECT bundle, path, text, {d.sha256("text")} AS sha, {d.size("text")} AS bytes FROM files),
 cur_files AS (
-  SELECT bundle, path, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' edited https://new.example.com/', path) ELSE text END AS text FROM files WHERE doc_id % 11 <> 0
+  SELECT bundle, path, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' edited https://new.example.com/', path) ELSE text END AS text FROM files WHERE doc_id % 11 IS DISTINCT FROM 0
   UNION ALL SELECT bundle, concat('copy/', path) AS path, text FROM files WHERE doc_id % 13 = 0),
 cur AS (SELECT bundle, path, text, {d.sha256("text")} AS sha, {d.size("text")} AS bytes FROM cur_files)"""
 

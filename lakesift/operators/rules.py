@@ -17,6 +17,7 @@ PREREQUISITE = (("required", "required prerequisite", "you must", "before use"),
 PASSWORDS = ("password", "passphrase", "passwd", "encrypted")
 ARCHIVES = ("zip", "7z", "rar", "archive", "tar", "tgz", "tar.gz")
 ARCHIVE_GAP = 80
+BINARIES = ("zip", "exe", "msi", "dmg", "pkg", "tar.gz", "tgz")
 #: Markup, hosts and paths that rules look for.
 TAGS = ("script", "iframe", "object", "embed", "form", "link", "meta", "img", "svg", "video", "audio")
 SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "cutt.ly", "rb.gy", "shorturl.at")
@@ -44,6 +45,21 @@ def in_turn(*steps) -> str:
     return "".join(words(s) if isinstance(s, tuple) else f".{{0,{s}}}" for s in steps)
 
 
+def in_order(*parts: str) -> str:
+    """A pattern for parts that stand in this order, whatever is between them."""
+    return ".*".join(f"(?:{p})" for p in parts)
+
+
+#: What grants the use of tools, the shell's name, and what stands for everything.
+ALLOWED, GRANTED, BASH, ALL = r"\ballowed[ _-]?tools?\b", r"\btool[ _-]?permissions?\b", r"\bbash\b", r"[*]|\ball\b"
+
+
+def grants_bash(d: Dialect, x: str) -> str:
+    """Bash allowed without limit: named with a wild card beside a list of tools, or called on one."""
+    orders = ((ALLOWED, BASH, ALL), (BASH, ALL, ALLOWED), (GRANTED, BASH, ALL))
+    return "(" + " OR ".join([d.hit(f"lower({x})", in_order(*o)) for o in orders] + [d.hit(f"lower({x})", BASH + r"\s*\(\s*[*]\s*\)")]) + ")"
+
+
 def on_host(hosts: tuple[str, ...]) -> str:
     return r"(?i)\bhttps?://(?:[a-z0-9-]+\.)*(?:" + "|".join(h.replace(".", r"\.") for h in hosts) + r")(?:[:/?#\s]|$)"
 
@@ -87,14 +103,10 @@ RULES: list[tuple] = [
     ("ENCODED_COMMAND_EXEC", "critical", False, r"(?i)(?:^|\s)[^\sa-z0-9]*(?:pwsh|powershell)(?:\.exe)?[^\sa-z0-9]*\s(?:.*\s)?[-/]*enc(?:odedcommand)?(?:[\s:=]|$)"),
     ("WRITES_HOME_CONFIG", "high", False, writes_home),
     ("SECRET_EXFIL", "critical", False, sends_secret),
-    (
-        "ALLOWED_TOOLS_BASH_WILDCARD", "high", False,
-        r"(?i)\ballowed(?:[_ -]?tools?)\b.*\bbash\b.*(?:\*|\ball\b)|\bbash\b.*(?:\*|\ball\b).*allowed(?:[_ -]?tools?)\b"
-        r"|\btool(?:[_ -]?permissions?)\b.*\bbash\b.*(?:\*|\ball\b)|\bbash\s*\(\s*\*\s*\)",
-    ),
+    ("ALLOWED_TOOLS_BASH_WILDCARD", "high", False, grants_bash),
     ("UNPINNED_RUNTIME_TOOL", "high", False, r"(?i)\b(?:npx|uvx|bunx)\s+(?:-y\s+)?@?[a-z0-9][a-z0-9._/-]*(?:@(?:latest|next|\^|~|>|<|\*)\S*)?(?:\s|$)"),
     ("FAKE_PREREQ_EXECUTION", "critical", True, "(?i)" + in_turn(*PREREQUISITE)),
-    ("EXTERNAL_BINARY_DOWNLOAD", "high", True, r"(?i)\bhttps?://\S+\.(?:zip|exe|msi|dmg|pkg|tar\.gz|tgz)\b"),
+    ("EXTERNAL_BINARY_DOWNLOAD", "high", True, r"(?i)\bhttps?://\S+[.]" + words(BINARIES).removeprefix(r"\b")),
     ("PROMPT_OVERRIDE_LANGUAGE", "high", True, "(?i)" + in_turn(*OVERRIDE)),
     ("PASSWORD_PROTECTED_ARCHIVE", "high", True, "(?i)(?:" + in_turn(PASSWORDS, ARCHIVE_GAP, ARCHIVES) + "|" + in_turn(ARCHIVES, ARCHIVE_GAP, PASSWORDS) + ")"),
     ("RAW_HTML_MARKUP", "medium", True, r"(?i)<\s*(?:" + "|".join(TAGS) + r")\b"),
@@ -144,7 +156,7 @@ def rule_rows(d: Dialect) -> str:
 
 def goes_on(d: Dialect, x: str) -> str:
     """Whether a line continues on the next: it ends in a backslash, pipe or &&, or opens $( without any closing bracket."""
-    return f"({d.hit(x, r'(?:' + chr(92) * 2 + r'|[|]|&&)[ ]*$')} OR (contains({x}, '$' || '(') AND NOT contains({x}, ')')))"
+    return f"({d.hit(x, r'(?:' + chr(92) * 2 + r'|[|]|&&)' + chr(92) + 's*$')} OR (contains({x}, '$' || '(') AND NOT contains({x}, ')')))"
 
 
 def lines(d: Dialect) -> str:
@@ -192,32 +204,46 @@ continued AS (SELECT bundle, path, kind, line, line_text, {longer} AS longer FRO
 continued AS (SELECT bundle, path, kind, line, line_text, CASE WHEN more THEN j END AS longer FROM joined{LOOK_AHEAD})"""
 
 
-def findings(d: Dialect) -> str:
-    """CTEs up to `findings`: one projection with all line rules, whose hits alone become rows, and the other rules' rows.
-
-    A rule of odd characters is tried on the line itself, every other one on the joined line too."""
+def found(d: Dialect, skip: tuple[str, ...] = (), odd: str = "odd") -> str:
+    """An array of the rules that fire on line_text or, but for rules of odd characters, on the joined line."""
     def fires(rule: str, md: bool, p) -> str:
         test = p if callable(p) else lambda d, x: d.hit(x, p)
         if rule in NEEDLES:
             test = f"({holds(d, 'low', NEEDLES[rule])} AND ({test(d, 'line_text')} OR coalesce({test(d, 'longer')}, FALSE)))"
         else:
-            test = f"(odd AND {test(d, 'line_text')})"
+            test = f"({odd} AND {test(d, 'line_text')})"
         return f"(kind = 'markdown' AND {test})" if md else test
 
-    hits = ", ".join(f"CASE WHEN {fires(i, md, p)} THEN '{i}' END" for i, _, md, p in RULES)
-    array = f"array({hits})" if d.name == "spark" else f"[{hits}]"
-    found = d.lambda_("filter", array, "x", "x IS NOT NULL")
-    return f"""{variants(d)},
-tested AS (SELECT *, lower(concat(line_text, ' ', coalesce(longer, ''))) AS low, {d.hit("line_text", ODD)} AS odd FROM continued),
-matched AS (SELECT bundle, path, line, {found} AS ids FROM tested),
-{chmod_chains(d)},
+    hits = [f"CASE WHEN {fires(i, md, p)} THEN '{i}' END" for i, _, md, p in RULES if i not in skip]
+    if d.name == "spark":  # in the same projection; the oracle has relations of their own for these
+        either = lambda test: f"({test('line_text')} OR (longer IS NOT NULL AND {test('longer')}))"
+        hits.append(f"CASE WHEN contains(low, 'chmod') AND {either(runs_made)} THEN 'CHMOD_EXEC_CHAIN' END")
+        hits.append(f"CASE WHEN kind = 'markdown' AND {near_gate(d, 'low')} AND {either(says_phrase)} THEN 'PROMPT_OVERRIDE_LANGUAGE' END")
+    array = ", ".join(hits)
+    return d.lambda_("filter", f"array({array})" if d.name == "spark" else f"[{array}]", "x", "x IS NOT NULL")
+
+
+def tested(d: Dialect, source: str) -> str:
+    return f"SELECT *, lower(concat(line_text, ' ', coalesce(longer, ''))) AS low, {d.hit('line_text', ODD)} AS odd FROM {source}"
+
+
+def findings(d: Dialect) -> str:
+    """CTEs up to `findings`: one projection with all line rules, whose hits alone become rows, and the rules of files.
+
+    A rule of odd characters is tried on the line itself, every other one on the joined line too."""
+    more = "" if d.name == "spark" else f"""{chmod_chains(d)},
 {fuzzy_hits(d)},
-hit_rows AS (
-  SELECT bundle, path, line, rule_id FROM {d.rows("ids", "rule_id", "nth", "matched")}
+"""
+    rows = "" if d.name == "spark" else """
   UNION ALL SELECT bundle, path, line, 'CHMOD_EXEC_CHAIN' AS rule_id FROM chains
-  UNION ALL SELECT bundle, path, line, 'PROMPT_OVERRIDE_LANGUAGE' AS rule_id FROM fuzzy
-  UNION ALL SELECT bundle, path, 0 AS line, 'LARGE_TEXT_FILE' AS rule_id FROM files WHERE kind <> 'unknown' AND {d.size("text")} > {LARGE_BYTES}
-  UNION ALL SELECT bundle, path, 0 AS line, 'UNKNOWN_FILE_TYPE' AS rule_id FROM files WHERE kind = 'unknown'),
+  UNION ALL SELECT bundle, path, line, 'PROMPT_OVERRIDE_LANGUAGE' AS rule_id FROM fuzzy"""
+    return f"""{variants(d)},
+tested AS ({tested(d, "continued")}),
+matched AS (SELECT bundle, path, line, {found(d)} AS ids FROM tested),
+{more}hit_rows AS (
+  SELECT bundle, path, line, rule_id FROM {d.rows("ids", "rule_id", "nth", "matched")}{rows}
+  UNION ALL SELECT bundle, path, 1 AS line, 'LARGE_TEXT_FILE' AS rule_id FROM files WHERE kind <> 'unknown' AND {d.size("text")} > {LARGE_BYTES}
+  UNION ALL SELECT bundle, path, 1 AS line, 'UNKNOWN_FILE_TYPE' AS rule_id FROM files WHERE kind = 'unknown'),
 rules AS {rule_rows(d)},
 findings AS (SELECT DISTINCT bundle, path, line, r.rule_id, severity FROM hit_rows h JOIN rules r ON h.rule_id = r.rule_id)"""
 
@@ -259,8 +285,11 @@ def q_severity_summary(d: Dialect) -> str:
 
 def q_sarif_rules(d: Dialect) -> str:
     level = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'low' THEN 'note' ELSE 'warning' END"
+    cast = "STRING" if d.name == "spark" else "VARCHAR"
+    at = f"concat(path, ':', CAST(line AS {cast}))"
+    first = f"min_by({at}, struct(path, line))" if d.name == "spark" else f"first({at} ORDER BY path, line)"
     return f"""WITH {findings(d)}
-SELECT bundle, rule_id, {level} AS sarif_level, min(concat(path, ':', CAST(line AS {'STRING' if d.name == 'spark' else 'VARCHAR'}))) AS first_place, count(*) AS n_results
+SELECT bundle, rule_id, {level} AS sarif_level, {first} AS first_place, count(*) AS n_results
 FROM findings GROUP BY bundle, rule_id, severity"""
 
 
@@ -276,22 +305,43 @@ def q_pages_html(d: Dialect) -> str:
     return f"SELECT page_id, {d.length(d.find_all('html', p))} AS n_tags FROM {d.table('pages')} WHERE {d.hit('html', p)}"
 
 
+MADE = r"(?i)^(?:sudo\s+)?chmod\s+\S*\+x\S*\s+(?:\./)?([^\s;]+)"
+RAN = r"(?i)^(?:(?:sh|bash|zsh|pwsh|python|node)\s+)?(?:\./)?([^\s;]+)"
+
+
+def commands(d: Dialect, x: str) -> str:
+    """The commands of a line, in order."""
+    return d.lambda_("filter", d.lambda_("transform", d.pieces(d.swap(x, r"&&|\|\|", ";"), ";"), "s", "trim(s)"), "s", "s <> ''")
+
+
+def runs_made(x: str) -> str:
+    """Spark: whether a command of the line runs what an earlier one has made executable."""
+    d = Dialect()
+    later = f"exists(slice(segs, i + 2, size(segs)), s -> {d.find('s', RAN, 1)} = {d.find('segs[i]', MADE, 1)})"
+    each = f"exists(sequence(0, size(segs) - 1), i -> {d.find('segs[i]', MADE, 1)} <> '' AND {later})"
+    # A one-element transform names the commands, so that they are cut once.
+    return f"element_at(transform(array({commands(d, x)}), segs -> size(segs) > 1 AND {each}), 1)"
+
+
+def texts(d: Dialect, test: str) -> str:
+    """Each line that passes a test, and its joined form, as rows of their own."""
+    both = d.lambda_("filter", "array(line_text, longer)" if d.name == "spark" else "[line_text, longer]", "x", "x IS NOT NULL")
+    return d.rows("spellings", "t", "which", f"(SELECT bundle, path, line, {both} AS spellings FROM continued WHERE {test})")
+
+
 def chmod_chains(d: Dialect) -> str:
     """CTE `chains`: a target made executable in one command and run in a later one of the same line, an ordered self-join."""
-    cut = d.lambda_("filter", d.lambda_("transform", d.pieces(d.swap("line_text", r"&&|\|\|", ";"), ";"), "s", "trim(s)"), "s", "s <> ''")
-    made = d.find("segment", r"(?i)^(?:sudo\s+)?chmod\s+\S*\+x\S*\s+(?:\./)?([^\s;]+)", 1)
-    ran = d.find("segment", r"(?i)^(?:(?:sh|bash|zsh|pwsh|python|node)\s+)?(?:\./)?([^\s;]+)", 1)
-    return f"""cut AS (SELECT bundle, path, line, {cut} AS segments FROM lines WHERE {d.hit("line_text", "(?i)chmod")}),
-segs AS (SELECT bundle, path, line, segment, nth FROM {d.rows("segments", "segment", "nth", "cut")}),
-named AS (SELECT bundle, path, line, nth, {made} AS made, {ran} AS ran FROM segs),
+    return f"""cut AS (SELECT bundle, path, line, which, {commands(d, "t")} AS segments FROM {texts(d, d.hit("concat(line_text, ' ', coalesce(longer, ''))", "(?i)chmod"))} x),
+segs AS (SELECT bundle, path, line, which, segment, nth FROM {d.rows("segments", "segment", "nth", "cut")}),
+named AS (SELECT bundle, path, line, which, nth, {d.find("segment", MADE, 1)} AS made, {d.find("segment", RAN, 1)} AS ran FROM segs),
 chains AS (
   SELECT DISTINCT a.bundle, a.path, a.line, a.made AS target FROM named a
-  JOIN named b ON a.bundle = b.bundle AND a.path = b.path AND a.line = b.line AND a.made = b.ran AND a.nth < b.nth
+  JOIN named b ON a.bundle = b.bundle AND a.path = b.path AND a.line = b.line AND a.which = b.which AND a.made = b.ran AND a.nth < b.nth
   WHERE a.made <> '')"""
 
 
 def q_chmod_chain(d: Dialect) -> str:
-    return f"WITH {lines(d)}, {chmod_chains(d)} SELECT bundle, path, line, target FROM chains"
+    return f"WITH {variants(d)}, {chmod_chains(d)} SELECT bundle, path, line, target FROM chains"
 
 
 #: Phrases that are looked for with their misspellings.
@@ -301,13 +351,41 @@ PHRASES = [
 ]
 
 
+def near_gate(d: Dialect, x: str) -> str:
+    """A test that every accepted spelling of a phrase's last word passes: one edit leaves one half of the word as it
+    is, shuffled inner letters leave their set and number."""
+    last = sorted({p.split()[-1] for p in PHRASES})
+    halves = tuple(h for w in last for h in (w[: len(w) // 2], w[len(w) // 2 :]))
+    mixed = "|".join(f"{w[0]}[{''.join(sorted(set(w[1:-1])))}]{{{len(w) - 2}}}{w[-1]}" for w in last)
+    return f"({holds(d, x, halves)} OR {d.hit(x, mixed)})"
+
+
+def says_phrase(x: str) -> str:
+    """Spark: whether a run of the line's words is a phrase, each word spelt right or nearly so."""
+    def near(w: str, p: str) -> str:
+        inner = "array(" + ", ".join(f"'{c}'" for c in sorted(p[1:-1])) + ")"
+        edit = f"(length({w}) >= 3 AND abs(length({w}) - {len(p)}) <= 1 AND levenshtein({w}, '{p}', 1) >= 0)" if len(p) >= 3 else "FALSE"
+        mixed = f"(length({w}) = {len(p)} AND left({w}, 1) = '{p[0]}' AND right({w}, 1) = '{p[-1]}' AND array_sort(split(substr({w}, 2, {len(p) - 2}), '')) = {inner})" if len(p) >= 4 else "FALSE"
+        return f"({w} = '{p}' OR {edit} OR {mixed})"
+
+    d = Dialect()
+    toks = d.lambda_("filter", d.pieces(d.swap(f"lower({x})", r"[^\pL]+", " "), " "), "w", "w <> ''")
+    runs = []
+    for p in PHRASES:
+        own = p.split()
+        # The last word first, as it is the rarest.
+        words_ = " AND ".join(near(f"toks[i + {k}]", own[k]) for k in reversed(range(len(own))))
+        runs.append(f"(size(toks) >= {len(own)} AND exists(sequence(0, greatest(size(toks) - {len(own)}, 0)), i -> {words_}))")
+    return f"element_at(transform(array({toks}), toks -> {' OR '.join(runs)}), 1)"
+
+
 def fuzzy_hits(d: Dialect) -> str:
     """CTE `fuzzy`: word windows of Markdown lines within one edit of each word of a phrase, or with a word's inner letters shuffled.
 
     One edit leaves the first or the last letter as it is and the length within one: that is tested first."""
     rows = [(n, i, w) for n, p in enumerate(PHRASES) for i, w in enumerate(p.split())]
     want = " ".join(f"WHEN {n} THEN {len(p.split())}" for n, p in enumerate(PHRASES))
-    toks = d.lambda_("filter", d.pieces(d.swap("lower(line_text)", r"[^\pL]+", " "), " "), "w", "w <> ''")
+    toks = d.lambda_("filter", d.pieces(d.swap("lower(t)", r"[^\pL]+", " "), " "), "w", "w <> ''")
 
     def inner(x: str) -> str:
         chars = f"split(substr({x}, 2, length({x}) - 2), '')" if d.name == "spark" else f"string_split(substr({x}, 2, length({x}) - 2), '')"
@@ -317,18 +395,19 @@ def fuzzy_hits(d: Dialect) -> str:
       AND (t.word = p.word OR (length(t.word) >= 3 AND length(p.word) >= 3 AND {d.distance('t.word', 'p.word')} <= 1)
       OR (length(t.word) >= 4 AND length(t.word) = length(p.word) AND left(t.word, 1) = left(p.word, 1)
         AND right(t.word, 1) = right(p.word, 1) AND {inner('t.word')} = {inner('p.word')}))"""
-    return f"""toks AS (SELECT bundle, path, line, {toks} AS words FROM lines WHERE kind = 'markdown'),
-words AS (SELECT bundle, path, line, word, nth AS place FROM {d.rows("words", "word", "nth", "toks")}),
+    gate = "kind = 'markdown'" if d.name == "duckdb" else f"kind = 'markdown' AND {near_gate(d, 'lower(concat(line_text, chr(32), coalesce(longer, chr(32))))')}"
+    return f"""toks AS (SELECT bundle, path, line, which, {toks} AS words FROM {texts(d, gate)} x),
+words AS (SELECT bundle, path, line, which, word, nth AS place FROM {d.rows("words", "word", "nth", "toks")}),
 phrases AS {d.values(rows, ["phrase", "nth", "word"])},
 fuzzy AS (
   SELECT DISTINCT bundle, path, line, phrase FROM (
-    SELECT bundle, path, line, p.phrase, t.place - p.nth AS begins, count(*) AS n FROM words t JOIN phrases p ON {near}
-    GROUP BY bundle, path, line, p.phrase, t.place - p.nth) w
+    SELECT bundle, path, line, which, p.phrase, t.place - p.nth AS begins, count(*) AS n FROM words t JOIN phrases p ON {near}
+    GROUP BY bundle, path, line, which, p.phrase, t.place - p.nth) w
   WHERE n = CASE phrase {want} END)"""
 
 
 def q_fuzzy_phrase(d: Dialect) -> str:
-    return f"WITH {lines(d)}, {fuzzy_hits(d)} SELECT bundle, path, line, phrase FROM fuzzy"
+    return f"WITH {variants(d)}, {fuzzy_hits(d)} SELECT bundle, path, line, phrase FROM fuzzy"
 
 
 QUERIES = {
