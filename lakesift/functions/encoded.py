@@ -13,7 +13,7 @@ from lakesift.functions.runtime_pin import clean
 #: What a token must be to be looked at, and how far decoding goes.
 HEX_LEAST, BASE64_LEAST, A_LINE, DEPTH, MOST_BYTES, PRINTABLE_PERCENT = 64, 40, 16, 3, 1_000_000, 80
 #: Tokens that long may hold text; the same test runs in the JVM before any line comes here.
-GATE = r"[A-Za-z0-9+/=_-]{40}"
+GATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{40}"
 #: Characters that may change in compatibility form: outside the plain letters and marks of western languages.
 MAY_CHANGE = r"[^\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-ı‒-‖‘-•€]"
 
