@@ -107,7 +107,7 @@ def _override_faults(x: Column, label: str) -> Faults:
     ]
 
 
-def _structure(lock: Column) -> Faults:
+def structure_faults(lock: Column) -> Faults:
     name, at, profile, decision = (_text(x) for x in (lock["name"], lock["installed_at"], lock["policy"]["profile"], lock["policy"]["decision"]))
     files = F.coalesce(lock["skill"]["files"], F.array().cast("array<struct<path:string,sha256:string,bytes:bigint>>"))
     faults = [*text_faults(name, "lock name"), *text_faults(at, "lock installed_at"), (~_has(at, TIME), "lock installed_at must be RFC3339")]
@@ -135,7 +135,7 @@ def _structure(lock: Column) -> Faults:
     return [*faults, (worst.isNotNull(), worst)]
 
 
-def _source(lock: Column) -> Faults:
+def source_faults(lock: Column) -> Faults:
     kind, given, type_ = (_text(lock["source"][x]) for x in ("kind", "input", "type"))
     wanted, github = source_type(kind), kind == "github-source"
     return [
@@ -219,7 +219,7 @@ def verify(skills: DataFrame, files: DataFrame) -> DataFrame:
     schema_detail = first([*text_faults(schema, "lock schema", empty=False), (F.lit(True), F.concat(F.lit(f"expected {LOCK_VERSION}, got "), schema))])
     sha = _text(lock["skill"]["root_sha256"])
     details = [
-        F.when(schema != LOCK_VERSION, schema_detail), F.when(name != base, F.concat(F.lit("expected "), base, F.lit(", got "), name)), first(_structure(lock)), first(_source(lock)),
+        F.when(schema != LOCK_VERSION, schema_detail), F.when(name != base, F.concat(F.lit("expected "), base, F.lit(", got "), name)), first(structure_faults(lock)), first(source_faults(lock)),
         first(_metadata(lock, F.col("meta"), root_)), first(_report(lock, F.col("report"), home)), F.when(drifted, counted), F.when(sha != root_, F.concat(F.lit("expected "), sha, F.lit(", got "), root_)),
     ]
     checks = F.array(*[F.struct(F.lit(k + 1).alias("nth"), F.lit(CODES[k]).alias("code"), d.isNull().alias("ok"), d.alias("detail")) for k, d in enumerate(details)])
