@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lakesift.functions.dialect import Dialect
 from lakesift.operators.rules import findings, lines
-from lakesift.sources.bundles import URL, files
+from lakesift.sources.bundles import URL, files, picked, text_of
 
 #: Weights and caps of the update score.
 SCORE = {"critical": 100, "high": 25, "medium": 7, "low": 2}
@@ -137,14 +137,14 @@ GROUP BY b.bundle, p.profile"""
 
 
 def q_reject_set(d: Dialect) -> str:
-    rows = d.values([("strict", "HIGH"), ("strict", "critical"), ("team", " medium"), ("research", "critical"), ("research", "critical")], ["profile", "severity"])
-    return f"""SELECT profile, {d.joined_by("lower(trim(severity))", ",")} AS severities,
-  max(CASE WHEN lower(trim(severity)) = 'critical' THEN 1 ELSE 0 END) = 1 AS has_critical FROM {rows} r GROUP BY profile"""
+    rows = picked(d, [("strict", "HIGH"), ("strict", "critical"), ("team", " medium"), ("research", "critical"), ("research", "critical")], ["profile", "severity"], [0, 0, 1, 2, 2])
+    return f"""SELECT doc_id, profile, {d.joined_by("lower(trim(severity))", ",")} AS severities,
+  max(CASE WHEN lower(trim(severity)) = 'critical' THEN 1 ELSE 0 END) = 1 AS has_critical FROM {rows} r GROUP BY doc_id, profile"""
 
 
 def q_nearest_policy(d: Dialect) -> str:
     """The policy of the longest folder that holds a path: ancestors joined by equality, deepest first."""
-    dirs = d.values([(1, "a/b/c"), (2, "a/x"), (3, "z"), (4, "a/b")], ["id", "dir"])
+    dirs = f"(SELECT doc_id AS id, concat(dir, '/', {text_of(d, 'doc_id')}) AS dir FROM {picked(d, [('a/b/c',), ('a/x',), ('z',), ('a/b',)], ['dir'])} x)"
     policies = d.values([("", "root"), ("a", "p-a"), ("a/b", "p-ab")], ["folder", "policy"])
     parts = d.pieces("dir", "/")
     if d.name == "spark":
@@ -159,37 +159,37 @@ SELECT id, dir, policy FROM ranked WHERE nth = 1"""
 
 
 def q_override_audit(d: Dialect) -> str:
-    rows = d.values(
-        [("A_RULE", "high", "medium", "why", "me"), ("A_RULE", "high", "medium", "again", "me"), ("B", "critical", "medium", "x", "me"), ("C", "high", "low", "x", "me"), ("D", "high", "medium", " ", "me")],
-        ["rule_id", "was", "now_", "why", "who"],
-    )
-    return f"""SELECT rule_id, why, CASE WHEN was <> 'high' THEN 'bad previous' WHEN now_ <> 'medium' THEN 'bad effective' WHEN trim(why) = '' THEN 'no reason'
-  WHEN count(*) OVER (PARTITION BY rule_id) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM {rows} o"""
+    rows = picked(
+        d, [("A_RULE", "high", "medium", "why", "me"), ("A_RULE", "high", "medium", "again", "me"), ("B", "critical", "medium", "x", "me"), ("C", "high", "low", "x", "me"), ("D", "high", "medium", " ", "me")],
+        ["rule_id", "was", "now_", "why", "who"], [0, 0, 0, 1, 1],
+    )
+    return f"""SELECT doc_id, rule_id, why, CASE WHEN was <> 'high' THEN 'bad previous' WHEN now_ <> 'medium' THEN 'bad effective' WHEN trim(why) = '' THEN 'no reason'
+  WHEN count(*) OVER (PARTITION BY doc_id, rule_id) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM {rows} o"""
 
 
 def q_infer_rule_id(d: Dialect) -> str:
-    rows = d.values([(1, "RAW_IP_URL: bad host"), (2, "read failed: LARGE_TEXT_FILE at 3"), (6, "read failed: LARGE_TEXT_FILE: at 3"), (3, "nothing here"), (4, "ABC: x"), (5, "")], ["id", "message"])
+    rows = picked(d, [("RAW_IP_URL: bad host",), ("read failed: LARGE_TEXT_FILE at 3",), ("read failed: LARGE_TEXT_FILE: at 3",), ("nothing here",), ("ABC: x",), ("",)], ["message"])
     # An id stands at the start, or anywhere if it has an underscore; a colon and white space follow it.
     a, b = d.find("trim(message)", r"^([A-Z][A-Z0-9_]+):\s", 1), d.find("message", r"(?:^|[^A-Z0-9_])([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+):\s", 1)
-    return f"SELECT id, CASE WHEN {a} <> '' THEN {a} ELSE {b} END AS rule_id FROM {rows} m"
+    return f"SELECT doc_id, CASE WHEN {a} <> '' THEN {a} ELSE {b} END AS rule_id FROM {rows} m"
 
 
 def q_error_code(d: Dialect) -> str:
-    rows = d.values([(1, " BAD_INPUT ", "F"), (2, "bad", "FALL_BACK"), (3, "", "also bad"), (4, "X1", "")], ["id", "code", "fallback"])
+    rows = picked(d, [(" BAD_INPUT ", "F"), ("bad", "FALL_BACK"), ("", "also bad"), ("X1", "")], ["code", "fallback"])
     ok = lambda c: d.hit(f"trim({c})", "^[A-Z0-9_]+$")
-    return f"SELECT id, CASE WHEN {ok('code')} THEN trim(code) WHEN {ok('fallback')} THEN trim(fallback) ELSE 'UNKNOWN_ERROR' END AS code FROM {rows} e"
+    return f"SELECT doc_id, CASE WHEN {ok('code')} THEN trim(code) WHEN {ok('fallback')} THEN trim(fallback) ELSE 'UNKNOWN_ERROR' END AS code FROM {rows} e"
 
 
 def q_lock_path(d: Dialect) -> str:
     paths = ["a/b.md", "/abs", "a//b", "a/../b", "./a", "a\\b", "C:/x", " a", "zero\u200bwidth", "ok.txt", ""]
-    rows = d.values(list(enumerate(paths)), ["id", "path"])
+    rows = f"(SELECT doc_id, CASE WHEN path IN ('', ' a') THEN path ELSE concat(path, '.', {text_of(d, 'doc_id')}) END AS path FROM {picked(d, [(x,) for x in paths], ['path'])} x)"
     bad = r"^$|^/|^[A-Za-z]:|\\|//|(?:^|/)\.{1,2}(?:/|$)|/$|^\s|\s$|[\x00-\x1F\x7F-\x{9F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{2028}\x{2029}\x{FE00}-\x{FE0F}]"
-    return f"SELECT id, NOT {d.hit('path', bad)} AS valid FROM {rows} p"
+    return f"SELECT doc_id, NOT {d.hit('path', bad)} AS valid FROM {rows} p"
 
 
 def q_sarif_level(d: Dialect) -> str:
-    rows = d.values([(s,) for s in ("critical", "high", "medium", "low", "info", "odd")], ["severity"])
-    return f"SELECT severity, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'low' THEN 'note' ELSE 'warning' END AS sarif_level FROM {rows} s"
+    rows = picked(d, [(s,) for s in ("critical", "high", "medium", "low", "info", "odd")], ["severity"])
+    return f"SELECT doc_id, severity, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'low' THEN 'note' ELSE 'warning' END AS sarif_level FROM {rows} s"
 
 
 def q_update_summary(d: Dialect) -> str:
@@ -200,11 +200,12 @@ SELECT count(*) AS total, count(CASE WHEN status = 'CHANGED' THEN 1 END) AS chan
 
 def q_shell_norm(d: Dialect) -> str:
     """Default expansions of the shell in one form."""
-    rows = d.values(list(enumerate(["${A:-}", "x ${B=}", "${C:=word}", "${D+alt} ${E?}", "plain", "${F:-keep}"])), ["id", "line_text"])
+    rows = f"""(SELECT l.bundle, l.path, l.line, concat(l.line_text, ' ', x.expansion) AS line_text FROM lines l
+  JOIN {d.values(list(enumerate(["${A:-}", "x ${B=}", "${C:=word}", "${D+alt} ${E?}", "plain", "${F:-keep}"])), ["pick", "expansion"])} x ON l.line % 6 = x.pick)"""
     x = d.swap("line_text", r"\$\{([A-Za-z_][A-Za-z0-9_]*|[0-9]+):?[-=?+]\}", "<$1>")
     x = d.swap(x, r"\$\{([A-Za-z_][A-Za-z0-9_]*|[0-9]+):[=+?]", "<$1:-")
     x = d.swap(x, r"\$\{([A-Za-z_][A-Za-z0-9_]*|[0-9]+)[=+?]", "<$1-")
-    return f"SELECT id, {x} AS normal FROM {rows} s"
+    return f"WITH {lines(d)} SELECT bundle, path, line, {d.sha256(x)} AS normal_sha FROM {rows} s"
 
 
 def q_enc_candidates(d: Dialect) -> str:
@@ -220,7 +221,8 @@ SELECT bundle, path, line, nth, token, CASE WHEN {hexed("token")} THEN 'hex' ELS
 
 def q_ref_links(d: Dialect) -> str:
     """Reference links against the first definition of their name in the file, by host."""
-    files_ = d.values([("f", "see [good.example.com][r1] and [docs][r2]\n[r1]: https://evil.example.net/x\n[R1]: https://good.example.com/\n[r2]: https://docs.example.com"), ("g", "[a.example.com](https://a.example.com/) [b.example.com][q]\n[q]: https://b.example.com/z")], ["path", "text"])
+    heads = picked(d, [("see [good.example.com][r1] and [docs][r2]\n[r1]: https://evil.example.net/x\n[R1]: https://good.example.com/\n[r2]: https://docs.example.com\n",), ("[a.example.com](https://a.example.com/) [b.example.com][q]\n[q]: https://b.example.com/z\n",)], ["head"])
+    files_ = f"(SELECT {text_of(d, 'h.doc_id')} AS path, concat(h.head, coalesce(t.text, '')) AS text FROM {heads} h JOIN {d.table('documents')} t ON h.doc_id = t.doc_id)"
     defs, uses = r"(?m)^\[[^\]]+\]:\s*https?://\S+", r"\[[^\]]+\]\[[^\]]+\]"
     name_d, host_d = d.find("def_", r"^\[([^\]]+)\]", 1), d.find("def_", r"https?://([^/\s:?#]+)", 1)
     name_u, label = d.find("use_", r"\]\[([^\]]+)\]", 1), d.find("use_", r"^\[([^\]]+)\]", 1)
