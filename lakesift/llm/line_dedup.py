@@ -13,13 +13,15 @@ line number.
    so lines of any script have many. A line signs in the pass that reads it: texts aren't shuffled.
 2. Equal lines meet by hash; from here on a line stands for all of its kind.
 3. Banding: in LEAD_ROUNDS rounds the lines of each band are held against one of them, if the two aren't in one
-   component yet. Then all pairs of different components in bands of up to FEW lines are compared. Larger bands are
-   split by further bands: two of their lines meet again where they share a second one, and so on up to DEPTH bands,
-   where whoever is left is compared. Pairs are only formed between components, so a family of near copies costs its
-   size, and lines of one template that aren't near copies meet in small parts. A pair below the first split is only
-   missed if it shares fewer bands than the split asks for and no small one: at a similarity of 0.85 under 3 %.
-4. Verification: a pair whose maps of shingle bits differ in more places than those of near copies is left; of the
-   others, the exact similarity over all shingles of both lines.
+   component yet. Of bands that still hold several components, those of up to FEW lines have all their pairs compared;
+   larger ones give their lines to a prefix filter: a line's shingles are put in the order of how many of these lines
+   have them, and two near copies share one of the first fifth of both. Pairs are formed where components meet in such a
+   shingle, if lengths and places in the order allow a near copy; lines of one template, which share common shingles
+   only, don't meet. First each line is held against the one that shares most such shingles with it, which leaves few
+   components. Both ways are exact: once two lines share a band, the chance of which is
+   1 - (1 - similarity ** ROWS) ** BANDS, neither can lose them.
+4. Verification: a pair whose maps of shingle bits differ in more places than near copies have shingles apart is
+   left; of the others, the exact similarity over all shingles of both lines.
 5. Distributed union-find over verified links.
 
 Defined results: null and empty texts have no lines; null ids count as the last document; rows of the same id are
@@ -43,9 +45,7 @@ ROWS = 3
 LED_FROM, FULL_TO = 24, 36  # shingles after lead characters: from how many they sign, and up to how many all do
 LEAD_ROUNDS = 1  # after the first
 WORDS = 8  # of 64 bits: what a line is known by before it is verified; a power of two
-SPREAD = 4  # a pair right at PERCENT is lost with a chance of 3 in 100,000 at most
-FEW = 512  # lines of a band that are held against each other without a further split
-DEPTH = 3  # bands that two lines share where a part is compared whatever its size
+FEW = 64  # lines of a band that are held against each other as they are
 
 
 def normal(text: Column) -> Column:
@@ -120,13 +120,9 @@ PRINT = ["size", *[f"bits{w}" for w in range(WORDS)]]
 
 def _may_link(one: str, two: str) -> Column:
     """Whether two lines may be near copies by their maps, which differ where an odd number of the shingles that only one
-    of them has falls. As many places as such shingles are the most there can be; few of many shingles share a
-    place, so beyond what near copies leave on average SPREAD deviations more are allowed."""
+    of them has falls: in as many places as such shingles at most."""
     apart = sum((F.bit_count(F.col(f"{one}bits{w}").bitwiseXOR(F.col(f"{two}bits{w}"))) for w in range(WORDS)), F.lit(0))
-    most = (100 - PERCENT) * (F.col(f"{one}size") + F.col(f"{two}size")) / (100 + PERCENT)
-    places = 64 * WORDS
-    usual = places / 2 * (1 - F.exp(-2 * most / places)) + SPREAD * F.sqrt(places / 4 * (1 - F.exp(-4 * most / places)))
-    return (apart <= most + 1e-9) & (apart <= usual)
+    return apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col(f"{one}size") + F.col(f"{two}size"))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
@@ -165,20 +161,66 @@ class _Search:
 
 
 def _open(rows: DataFrame, key: str) -> DataFrame:
-    """The rows of keys that hold more than one component, with the number of their lines as n."""
+    """The rows of keys that hold more than one component, with the number of their rows as n."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     return rows.join(growing(sizes.filter("low <> high").select(key, "n")), key)
 
 
-def _apart(rows: DataFrame, key: str, held: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs of rows of a key that are of different components and may be near copies."""
-    rows = rows.select(key, "line_id", "root").join(growing(held.select("line_id", *PRINT)), "line_id")
+def _all_pairs(rows: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs of rows of a band that are of different components and may be near copies."""
+    rows = rows.select("key", "line_id", "root").join(growing(held.select("line_id", *PRINT)), "line_id")
     rows = scratch.write(rows, "printed")
-    one, two = (rows.select(key, *[F.col(c).alias(f"{k}_{c}") for c in ["line_id", "root", *PRINT]]) for k in "ab")
-    pairs = one.join(growing(two), key).filter("a_line_id > b_line_id AND a_root <> b_root").filter(_may_link("a_", "b_"))
+    one, two = (rows.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ["line_id", "root", *PRINT]]) for k in "ab")
+    pairs = one.join(growing(two), "key").filter("a_line_id > b_line_id AND a_root <> b_root").filter(_may_link("a_", "b_"))
     return pairs.select(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"))
 
 
+def _early(rows: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, line_id, root, size, place): of each line the shingles that come first by how many of the lines have them,
+    so many that near copies share one. Shingles of one component only are left out."""
+    own = rows.select("line_id", "root").distinct().join(growing(held.select("line_id", "line")), "line_id")
+    own = own.withColumn("set", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
+    every = scratch.write(own.select("line_id", "root", F.size("set").alias("size"), F.explode_outer("set").alias("token")), "shingles")
+    often = every.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = every.join(growing(often), "token").groupBy("line_id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
+    least = F.ceil(F.col("size") * PERCENT / 100).cast("int")  # what a near copy of any size shares
+    first = ordered.select("line_id", "root", "size", F.posexplode_outer(F.slice("order", F.lit(1), F.col("size") - least + 1)).alias("place", "one"))
+    early = scratch.write(first.select("line_id", "root", "size", "place", "one.n", "one.token").filter("n > 1").drop("n"), "early")
+    scratch.drop(every)
+    return scratch.write(_open(early, "token").drop("n"), "open-shingles")
+
+
+def _close(pairs: DataFrame) -> DataFrame:
+    """Pairs that lengths and the places of a shared shingle, if it is the first that they share, allow to be near copies."""
+    both = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    fit = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * PERCENT
+    return pairs.filter(fit & (both * (100 + PERCENT) >= (F.col("a_size") + F.col("b_size")) * PERCENT))
+
+
+def _side(early: DataFrame, side: str) -> DataFrame:
+    return early.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("root", "line_id", "size", "place")])
+
+
+def _best(early: DataFrame) -> DataFrame:
+    """For each line the one that it shares most early shingles with, of those that are the first of a shingle by hash."""
+    lead = early.groupBy("token").agg(F.min_by(F.struct("root", "line_id", "size", "place"), F.xxhash64("line_id", "token")).alias("l"))
+    lead = lead.select("token", *[F.col(f"l.{c}").alias(f"b_{c}") for c in ("root", "line_id", "size", "place")])
+    met = _close(_side(early, "a").join(growing(lead), "token").filter("a_root <> b_root"))
+    shared = met.groupBy("a_line_id", "b_line_id").agg(F.count("*").alias("n"))
+    return shared.groupBy(F.col("a_line_id").alias("a")).agg(F.max_by("b_line_id", F.struct("n", "b_line_id")).alias("b"))
+
+
+def _apart(early: DataFrame) -> DataFrame:
+    """All pairs of lines of different components that may be near copies."""
+    # Components meet first, then their lines: a large family next to a few lines costs its size.
+    sides = early.groupBy("token", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    one, two = (sides.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("root", "low", "high")]) for k in "ab")
+    fit = (F.col("a_high") * 100 >= F.col("b_low") * PERCENT) & (F.col("b_high") * 100 >= F.col("a_low") * PERCENT)
+    meet = one.join(growing(two), "token").filter("a_root > b_root").filter(fit).select("token", "a_root", "b_root")
+    pairs = meet.join(growing(_side(early, "a")), ["token", "a_root"]).join(growing(_side(early, "b")), ["token", "b_root"])
+    return _close(pairs).select(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"))
+
+
 def _links(seen: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified (a, b), a > b, that join near copies that share bands. Texts are read again once, for lines in question."""
     every = seen.select("line_id", F.explode_outer("keys").alias("key"))
@@ -198,20 +240,10 @@ def _links(seen: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
         pairs = rows.join(growing(leads), "key").filter("root <> l.root")
         search.settle(pairs.select(F.col("line_id").alias("a"), F.col("l.line_id").alias("b")))
     rows = scratch.write(_open(search.rooted(met), "key").filter("n > 2"), "open")
-    pairs = _apart(rows.filter(F.col("n") <= FEW), "key", held, scratch)
-    large = rows.filter(F.col("n") > FEW)
-    own = large.groupBy("line_id", "root").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    parts = own.select("line_id", "root", "keys", F.posexplode("keys").alias("at", "part"))
-    for depth in range(2, DEPTH + 1):
-        # A part of a part: the lines that share one more band, of those that come later in order.
-        further = F.posexplode(F.slice("keys", F.col("at") + 2, F.greatest(F.lit(0), F.size("keys") - F.col("at") - 1)))
-        parts = parts.select("line_id", "root", "keys", "at", "part", further.alias("step", "next"))
-        parts = parts.select("line_id", "root", "keys", (F.col("at") + F.col("step") + 1).alias("at"), F.xxhash64("part", "next").alias("part"))
-        parts = scratch.write(_open(parts, "part"), "parts")
-        small = F.lit(True) if depth == DEPTH else F.col("n") <= FEW
-        pairs = pairs.union(_apart(parts.filter(small), "part", held, scratch))
-        parts = parts.filter(~small).drop("n")
-    search.settle(pairs)
+    pairs = _all_pairs(rows.filter(F.col("n") <= FEW), held, scratch)
+    early = _early(rows.filter(F.col("n") > FEW), held, scratch)
+    search.settle(pairs.union(_best(early)))
+    search.settle(_apart(scratch.write(_open(search.rooted(early.drop("root")), "token").drop("n"), "open-shingles")))
     return search.found
 
 

@@ -285,6 +285,19 @@ def test_line_dedup_families_on_one_template(spark):
     assert {(r.doc_id, *r.removed) for r in line_dedup.judge_lines(docs).collect()} == {(i, 1) for i in range(len(pairs))}
 
 
+def test_line_dedup_many_families_right_at_the_limit(spark):
+    rng = random.Random(9)
+    letters = string.ascii_lowercase
+    template, pairs = "".join(rng.choices(letters, k=68)), []
+    for _ in range(1000):  # 76 shingles, of which a letter touches 8: similarity 0.81 within a pair, 0.67 across
+        line = template + "".join(rng.choices(letters, k=15))
+        pairs.append((line, changed(rng, letters, line, {rng.randrange(8, 75)})))
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    got = {(r.doc_id, *r.removed) for r in line_dedup.judge_lines(docs).collect()}
+    found = {i for i, *lines in got if lines == [1]}
+    assert len(found) >= 990 and all(lines in ([], [1]) for _, *lines in got)
+
+
 def test_line_dedup_pairs_of_one_template(spark):
     rng = random.Random(5)
     letters = string.ascii_lowercase
