@@ -21,7 +21,7 @@ from lakesift.sources import bundles
 #: Weights of severities, weights and caps of signals, and what profiles reject.
 WEIGHTS = {"critical": 100, "high": 25, "medium": 7, "low": 2}
 SIGNALS = {"new_urls": (6, 60), "new_execs": (15, 90), "file_delta": (2, 60), "overrides_removed": (-6, 30)}
-REJECTS = {"strict": ("critical", "high"), "team": ("critical", "high"), "research": ("critical",)}
+REJECTS = {"strict": rules.REJECTED, "team": rules.REJECTED, "research": ("critical",)}
 DELTAS = [f"delta_{s}" for s in WEIGHTS]
 COUNTS = ("added", "removed", "changed", "new_urls", "new_execs", "overrides_removed")
 
@@ -147,4 +147,3 @@ def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"update_skills": q_update, "update_report": q_summary}
-assert set(WEIGHTS) == set(lock.SEVERITIES) and rules.REJECTED == REJECTS["strict"]
