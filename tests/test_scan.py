@@ -5,7 +5,7 @@ import base64
 import pytest
 
 from lakesift.functions import encoded, hosts, paths, shell
-from lakesift.functions.runtime_pin import GATE, unpinned
+from lakesift.functions.runtime_pin import unpinned
 from lakesift.operators import scan
 
 FLOATING = """npx tool|npx --yes tool@latest|npx tool@^1.2.3|uvx @scope/tool|bunx @scope/tool@beta|pnpm 'dlx' @scope/tool|yarn "DLX" @scope/tool
@@ -140,4 +140,3 @@ def test_report_decides(files):
     row = scan.report(files).first()
     assert (row.n_files, row.critical, row.decision) == (len(FILES), 4, "REJECTED")
     assert scan.report(files.filter("path = 'empty.md'")).first().decision == "PASS"
-    assert GATE
