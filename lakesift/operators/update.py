@@ -46,9 +46,20 @@ def with_kinds(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", F.expr(bundles.kind_of(Dialect(), "path")))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that what follows has a plan of its own; as it is where no folder is named."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if (folder := spark.conf.get("spark.checkpoint.dir", None)) is None:
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _fresh(current: DataFrame, policies: DataFrame) -> DataFrame:
     """(skill, counts by severity, rejected, active): findings now, high ones lowered where the lock's policy lowers them."""
     found = scan.scan(current.select(F.col("skill").alias("bundle"), "path", "text", "kind")).withColumnRenamed("bundle", "skill")
+    found = cut(found.select("skill", "rule_id", "severity"))
     lowered = policies.select("skill", F.explode("configured").alias("rule_id")).withColumn("active", F.lit(True))
     judged = found.join(lowered, ["skill", "rule_id"], "left").join(policies.select("skill", "profile"), "skill", "left")
     effective = F.when(F.col("active") & (F.col("severity") == "high"), F.lit("medium")).otherwise(F.col("severity"))
@@ -80,6 +91,7 @@ def _failure() -> Column:
 def evaluate(skills: DataFrame, installed: DataFrame, current: DataFrame) -> DataFrame:
     """skills (skill, lock); installed and current files (skill, path, text)."""
     options = {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"}
+    skills = cut(skills.select("skill", "lock"))
     parsed = skills.select("skill", F.col("lock").alias("raw"), F.from_json("lock", lock.LOCK, options).alias("lock"))
     current, installed = with_kinds(current), with_kinds(installed)
     ids = F.transform("lock.policy.severity_overrides", lambda o: o["rule_id"])
@@ -91,7 +103,7 @@ def evaluate(skills: DataFrame, installed: DataFrame, current: DataFrame) -> Dat
         current.groupBy("skill").agg(F.count("*").alias("n_current")), lock.drift(listed, digests), _new_values(_addresses(current), _addresses(installed), "new_urls"),
         _new_values(_scripts(current), _scripts(installed), "new_execs"), _fresh(current, policies), policies.select("skill", F.size("configured").alias("configured")),
     ):
-        full = full.join(part, "skill", "left")
+        full = full.join(cut(part), "skill", "left")
     full = full.withColumn("failure", _failure())
     good = F.col("failure").isNull()
     count = lambda x: F.when(good, F.coalesce(x, F.lit(0))).otherwise(0).cast("long")
