@@ -77,6 +77,14 @@ def log_probabilities(w: dict, limits: np.ndarray, states: np.ndarray, words: np
 
 def gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray, words: np.ndarray, use: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """(gradients of the mean loss over the steps in use, last state)."""
+    g, hit, sums, last = _gradients(w, limits, ids, fresh, words, use, h)
+    g["x"] = np.zeros_like(w["x"])
+    g["x"][hit] = sums
+    return g, last
+
+
+def _gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray, words: np.ndarray, use: np.ndarray, h: np.ndarray) -> tuple:
+    """(gradients of all weights but `x`, the rows of `x` that were read, their gradients, last state)."""
     steps, lanes = ids.shape
     states, held = run(w, ids, fresh, h, keep=True)
     flat, y = states.reshape(-1, HIDDEN), words.ravel()
@@ -85,7 +93,7 @@ def gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray, w
     d = np.exp(_log_softmax(flat @ w["wc"] + w["bc"]))
     d[np.arange(len(y)), of] -= 1
     d *= scale[:, None]
-    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
     g["wc"], g["bc"] = flat.T @ d, d.sum(axis=0)
     back = d @ w["wc"].T
     order = np.argsort(of, kind="stable")
@@ -116,8 +124,7 @@ def gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray, w
     hit, where = np.unique(ids.ravel(), return_inverse=True)
     by = np.argsort(where, kind="stable")
     sums = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[by], np.searchsorted(where[by], np.arange(len(hit))), axis=0)
-    g["x"][hit] = sums
-    return g, states[-1]
+    return g, hit, sums, states[-1]
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -135,51 +142,70 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return [out[k] for k in sorted(range(len(out)), key=lambda k: -total[k])]
 
 
-def streams(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: int, end: int) -> Iterator[tuple]:
+def streams(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: int, end: int, warm: np.ndarray | None = None) -> Iterator[tuple]:
     """Windows over all rows, dealt to lanes: (inputs, fresh, words, place of each word, in use); lanes end one by one.
 
-    A row's first word follows `end` and a fresh state."""
+    A row's first word follows `end` and a fresh state. A row with warm > 0 goes on from an earlier one: its first word
+    follows the word before it, and its first `warm` words are read for the state alone."""
     dealt = lanes_of(lengths, lanes)
     if not dealt:
         return
     total = np.array([int(lengths[rows].sum()) for rows in dealt])
     places = np.full((len(dealt), -(-int(total[0]) // WINDOW) * WINDOW), -1, np.int64)
-    first = np.zeros(places.shape, bool)
+    first, begins, counts = np.zeros(places.shape, bool), np.zeros(places.shape, bool), np.ones(places.shape, bool)
     for k, rows in enumerate(dealt):
         own = np.array(rows)
         n = lengths[own]
         at = np.cumsum(n) - n
         places[k, : total[k]] = np.repeat(starts[own] - at, n) + np.arange(total[k])
         first[k, at] = True
+        if warm is not None:
+            begins[k, at[warm[own] == 0]] = True
+            counts[k, : total[k]] = np.arange(total[k]) - np.repeat(at, n) >= np.repeat(warm[own], n)
+    begins = first if warm is None else begins
     for t in range(0, places.shape[1], WINDOW):
         live = int((total > t).sum())
-        at, new = places[:live, t : t + WINDOW].T, first[:live, t : t + WINDOW].T
-        use = at >= 0
-        inputs = np.where(new | ~use, end, words[np.maximum(at - 1, 0)])
-        yield inputs, new, np.where(use, words[np.maximum(at, 0)], end), at, use
+        at, new, begin, own = (x[:live, t : t + WINDOW].T for x in (places, first, begins, counts))
+        there = at >= 0
+        inputs = np.where(begin | ~there, end, words[np.maximum(at - 1, 0)])
+        yield inputs, new, np.where(there, words[np.maximum(at, 0)], end), at, there & own
+
+
+class Trainer:
+    """Adam over windows. Its averages, step and rate plan last over all rows that it is given, in any number of parts;
+    the rate falls from `rate` to `last` over `planned` words. Rows of `x` move in the windows that read them."""
+
+    def __init__(self, w: dict, limits: np.ndarray, end: int, rate: float, last: float, planned: float, lanes: int):
+        self.w = {k: v.copy() for k, v in w.items()}
+        self.one, self.two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.limits, self.end, self.rate, self.last, self.planned, self.lanes = limits, end, rate, last, max(planned, 1.0), lanes
+        self.step, self.seen = 0, 0
+
+    def learn(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, warm: np.ndarray | None = None) -> None:
+        h = np.zeros((self.lanes, HIDDEN), np.float32)
+        for inputs, fresh, y, _, use in streams(words, starts, lengths, self.lanes, self.end, warm):
+            g, hit, sums, h = _gradients(self.w, self.limits, inputs, fresh, y, use, h[: inputs.shape[1]])
+            self.step += 1
+            self.seen += int(use.sum())
+            now = self.rate + (self.last - self.rate) * min(1.0, self.seen / self.planned)
+            size = np.sqrt(sum(float((v * v).sum()) for v in (*g.values(), sums)))
+            clip = np.float32(min(1.0, 1.0 / (size + 1e-12)))
+            a, b = 1 - 0.9**self.step, 1 - 0.99**self.step
+            for k, v in (*g.items(), ("x", sums)):
+                rows = hit if k == "x" else slice(None)
+                v = v * clip
+                one = self.one[k][rows] + np.float32(0.1) * (v - self.one[k][rows])
+                two = self.two[k][rows] + np.float32(0.01) * (v * v - self.two[k][rows])
+                self.one[k][rows], self.two[k][rows] = one, two
+                self.w[k][rows] -= np.float32(now / a) * one / (np.sqrt(two / np.float32(b)) + np.float32(1e-8))
 
 
 def train(w: dict, limits: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int, rate: float, lanes: int, epochs: int = 1) -> dict:
     """Adam over all windows of all rows."""
-    w = {k: v.copy() for k, v in w.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    step = 0
-    plan = sum(1 for _ in streams(words, starts, lengths, lanes, end)) * epochs
+    trainer = Trainer(w, limits, end, rate, rate / 10, float(lengths.sum()) * epochs, lanes)
     for _ in range(epochs):
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        for inputs, fresh, y, _, use in streams(words, starts, lengths, lanes, end):
-            g, h = gradients(w, limits, inputs, fresh, y, use, h[: inputs.shape[1]])
-            step += 1
-            now = rate * (1 - 0.9 * step / (plan + 1))
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            clip = min(1.0, 1.0 / (size + 1e-12))
-            for k, v in g.items():
-                v *= np.float32(clip)
-                one[k] += np.float32(0.1) * (v - one[k])
-                two[k] += np.float32(0.01) * (v * v - two[k])
-                a, b = 1 - 0.9**step, 1 - 0.99**step
-                w[k] -= np.float32(now / a) * one[k] / (np.sqrt(two[k] / np.float32(b)) + np.float32(1e-8))
-    return w
+        trainer.learn(words, starts, lengths)
+    return trainer.w
 
 
 def score_rows(w: dict, limits: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int, lanes: int) -> np.ndarray:

@@ -3,11 +3,15 @@
 Tokens are the white-space separated words of a text, A-Z as a-z, and one end. Counts are taken over all training
 documents, on 64-bit hashes of the words: each task counts its own, one shuffle adds them up.
 
-The recurrent model knows the MODEL_WORDS most frequent tokens; every other word is first predicted as one unknown
+The recurrent model knows the most frequent tokens, as many as make up COVER of all, within LEAST_WORDS and MOST_WORDS; every other word is first predicted as one unknown
 word and then among the other words by (c + 1) / (their counts + their number + 1), so the probabilities of all words
-and of one unseen word add up to 1. Its weights start on a bounded sample on the driver; then every task trains them
-on all of its own documents (segments of SEGMENT tokens, every one of every text) by truncated backpropagation, and the
-weights of all tasks are averaged by their numbers of tokens, in two levels of groups. Scoring reads each text whole: its state is carried across windows from the first word to the end.
+and of one unseen word add up to 1. Its weights start on a bounded sample on the driver and then train on all training
+documents, once each, in ROUNDS rounds: a round deals its documents to shards by their ids, each task trains one shard by
+truncated backpropagation with one optimiser from its first document to its last, and the average of all shards by their
+numbers of tokens, in two levels of groups, starts the next round. State is carried from window to window through a
+text; a text of more than SEGMENT tokens trains in segments, of which each later one first reads the WARM tokens
+before it. Shards depend on ids and on the number of tokens, not on how the table is partitioned. Scoring reads each text
+whole: its state is carried across windows from the first word to the end.
 
 Counts of the COMMON most frequent words are broadcast (a fixed bound); the rarer words of each document go
 through a join on their hash, which has no hot keys, as all of them are rare.
@@ -19,6 +23,7 @@ uniform over end and unknown; an empty table gives an empty table. Other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +37,10 @@ from lakesift.llm.common import Scratch, table
 from lakesift.llm.toxicity import fold
 from lakesift.llm.wordhash import row_chunks, text_buffers, word_hashes
 
-MODEL_WORDS = 2048
+COVER, LEAST_WORDS, MOST_WORDS = 0.75, 1024, 4096
 COMMON = 1 << 18
 HELD_WORDS = 400_000  # distinct words a task holds counts of at a time
-SEGMENT = 64
+SEGMENT, WARM = 1024, gru.WINDOW
 START_DOCS = 400
 START_BYTES = 16 << 10
 LANES, TRAIN_LANES = 256, 512
@@ -43,7 +48,9 @@ START_RATE, RATE = 0.01, 0.015
 CHUNK = 3 << 20  # bytes of text scored together
 END = np.uint64(0xE0D0FA11D0C5)
 PART = 8192  # weights in a block of the average
-GROUPS = 64
+ROUNDS = 2
+SHARD = 1 << 20  # tokens of a shard at least; larger tables have more shards, and larger ones
+HELD = 1 << 19  # tokens that are dealt to lanes together
 
 
 def _token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +86,11 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         known = hashes != END
-        words, own = hashes[known][: MODEL_WORDS - 2], counts[known][: MODEL_WORDS - 2]
         ends = int(counts[~known].sum())
+        words, own = hashes[known], counts[known]
+        most = int(np.searchsorted(np.cumsum(own), COVER * (total - ends))) + 1
+        most = min(max(most, LEAST_WORDS), MOST_WORDS) - 2
+        words, own = words[:most], own[:most]
         self.rest = int(total - own.sum() - ends)
         self.rest_words = int(distinct - len(words) - (ends > 0))
         every = np.concatenate([own, [ends, self.rest]])
@@ -100,11 +110,13 @@ class Vocabulary:
         return np.where(self.keys[at] == hashes, self.numbers[at], self.unknown)
 
 
-def _segments(lengths: np.ndarray) -> np.ndarray:
-    """The lengths of the segments of all rows, which follow one another."""
+def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, warm) of the segments of all rows, which follow one another: warm tokens are those of the segment before."""
     many = -(-lengths // SEGMENT)
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return np.minimum(SEGMENT, np.repeat(lengths, many) - nth * SEGMENT)
+    own = np.minimum(SEGMENT, np.repeat(lengths, many) - nth * SEGMENT)
+    warm = np.where(nth > 0, WARM, 0)
+    return np.cumsum(own) - own - warm, own + warm, warm
 
 
 def _flat(w: dict) -> np.ndarray:
@@ -119,35 +131,37 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def _trained(shared):
-    """One row for each block of a task's weights, after training on the task's segments."""
+def _trained(shared, planned: float = HELD, rate: float = RATE, last: float = RATE / 10):
+    """One row for each block of a task's weights, after training on all documents of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, words = shared.value
-        total = 0
+        trainer = gru.Trainer(w, words.limits, words.end, rate, last, planned, TRAIN_LANES)
+        total, waiting = 0, 0
         held: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
 
-        def learn(w: dict) -> dict:
-            lengths = np.concatenate(sizes)
-            ids = np.concatenate(held)
-            return gru.train(w, words.limits, ids, np.cumsum(lengths) - lengths, lengths, words.end, RATE, TRAIN_LANES)
+        def learn() -> None:
+            nonlocal waiting
+            if held:
+                trainer.learn(np.concatenate(held), *_segments(np.concatenate(rows)))
+            held.clear()
+            rows.clear()
+            waiting = 0
 
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
             for at, to in row_chunks(offsets):
                 hashes, lengths = _token_hashes(raw, offsets[at : to + 1])
-                ids = words.number(hashes)
-                held.append(ids)
-                sizes.append(_segments(lengths))
-                total += len(ids)
-                if sum(map(len, held)) >= 1 << 19:
-                    w = learn(w)
-                    held, sizes = [], []
-        if held:
-            w = learn(w)
+                held.append(words.number(hashes))
+                rows.append(lengths)
+                total += len(hashes)
+                waiting += len(hashes)
+                if waiting >= HELD:
+                    learn()
+        learn()
         if total:
-            flat, task = _flat(w), TaskContext.get().partitionId()
+            flat, task = _flat(trainer.w), TaskContext.get().partitionId()
             parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
             yield pa.record_batch(
                 [pa.array([task] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([float(total)] * len(parts))],
@@ -171,23 +185,36 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row])
 
 
+def _shards(tokens: float) -> int:
+    """How many shards so many tokens make: both their number and their size grow with the square root."""
+    return max(1, math.ceil(tokens / max(SHARD, math.sqrt(tokens * (SHARD >> 4)))))
+
+
 def fit(train: DataFrame, words: Vocabulary) -> dict:
-    """Weights from all training documents (one text column)."""
+    """Weights from all training documents (id, text)."""
     spark = train.sparkSession
     w = gru.start(words.counts)
     short = train.filter((F.octet_length("text") <= START_BYTES) & (F.octet_length("text") > 0))
-    sample = short.orderBy(F.xxhash64("text"), "text").limit(START_DOCS).toArrow().column("text")
+    sample = short.orderBy(F.xxhash64("text"), "text").limit(START_DOCS).select("text").toArrow().column("text")
     if not len(sample):
         return w
     hashes, lengths = _token_hashes(*text_buffers(sample))
     w = gru.train(w, words.limits, words.number(hashes), np.cumsum(lengths) - lengths, lengths, words.end, START_RATE, 32, 2)
-    shared = spark.sparkContext.broadcast((w, words))
-    own = train.mapInArrow(_trained(shared), WEIGHTS)
-    near = own.groupBy("part", (F.col("task") % GROUPS).alias("near")).applyInArrow(_averaged, WEIGHTS)
-    done = near.groupBy("part").applyInArrow(_averaged, WEIGHTS).orderBy("part").toArrow()
-    if not done.num_rows:
-        return w
-    return _shaped(np.concatenate([np.frombuffer(b.as_py(), np.float32) for b in done.column("weights")]), w)
+    tokens = float(words.counts.sum()) / ROUNDS
+    shards = _shards(tokens)
+    near = math.ceil(math.sqrt(shards))
+    lot = F.xxhash64(F.lit("lot"), "id")
+    for turn in range(ROUNDS):
+        rate, last = (RATE * (1 - 0.9 * k / ROUNDS) for k in (turn, turn + 1))
+        shared = spark.sparkContext.broadcast((w, words))
+        own = train.filter(F.pmod(lot, F.lit(ROUNDS)) == turn).repartition(shards, F.xxhash64("id"))
+        own = own.sortWithinPartitions("id", F.xxhash64("text")).select("text")
+        own = own.mapInArrow(_trained(shared, tokens / shards, rate, last), WEIGHTS)
+        own = own.groupBy("part", (F.col("task") % near).alias("near")).applyInArrow(_averaged, WEIGHTS)
+        done = own.groupBy("part").applyInArrow(_averaged, WEIGHTS).orderBy("part").toArrow()
+        if done.num_rows:
+            w = _shaped(np.concatenate([np.frombuffer(b.as_py(), np.float32) for b in done.column("weights")]), w)
+    return w
 
 
 def _scored(shared):
@@ -237,8 +264,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     own = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    train = own.filter(~F.coalesce(held_out(F.col("id")), F.lit(True))).select("text")
-    counts = scratch.write(train.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    train = own.filter(~F.coalesce(held_out(F.col("id")), F.lit(True)))
+    counts = scratch.write(train.select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = counts.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
     keys, c = common.column("h").to_numpy().astype(np.int64).view(np.uint64), common.column("c").to_numpy().astype(np.int64)

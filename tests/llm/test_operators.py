@@ -127,6 +127,65 @@ def test_lm_trains_on_every_token(spark):
     assert sum(r.tokens for r in rows) == sum(1 + 7 * i + 1 for i in range(40))
 
 
+def test_lm_scores_alike_however_the_table_is_partitioned(spark):
+    fold = lambda key: toxicity.fold(key, 7, 2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.score for r in lm.score(docs.repartition(n), fold).collect()} for n in (1, 5))
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-4) for k in one)
+
+
+def test_lm_segments_go_on():
+    starts, lengths, warm = lm._segments(np.array([1, lm.SEGMENT, 2 * lm.SEGMENT + 5]))
+    own = starts + warm
+    assert own.tolist() == [0, 1, lm.SEGMENT + 1, 2 * lm.SEGMENT + 1, 3 * lm.SEGMENT + 1]
+    assert (lengths - warm).tolist() == [1, lm.SEGMENT, lm.SEGMENT, lm.SEGMENT, 5]
+    words = np.arange(1, 8)
+    got = list(lm.gru.streams(words, np.array([0, 2]), np.array([4, 5]), 1, 0, np.array([0, 2])))
+    inputs, fresh, y, at, use = (np.concatenate([w[k][:, 0] for w in got]) for k in range(5))
+    # The longer row goes first: it follows word 2, reads 3 and 4 for the state, and counts from 5 on.
+    assert inputs[:9].tolist() == [2, 3, 4, 5, 6, 0, 1, 2, 3] and y[:9].tolist() == [3, 4, 5, 6, 7, 1, 2, 3, 4]
+    assert np.flatnonzero(fresh).tolist() == [0, 5] and np.flatnonzero(use).tolist() == [2, 3, 4, 5, 6, 7, 8]
+
+
+def test_gru_text_by_hand():
+    from lakesift.llm import gru
+
+    counts = np.array([9.0, 5, 4, 3, 2, 2, 1, 1])
+    w, limits, k = gru.start(counts), gru.class_limits(counts), gru.HIDDEN
+    text, end = [3, 1, 7, 0, 2, *[5, 6, 4] * 9, 0], 0
+    h, want, before = np.zeros(k), 0.0, end
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for word in text:
+        x, r = w["x"][before].astype(float), h @ w["u"]
+        z, g = (np.array([sigmoid(v) for v in (x + r)[a : a + k]]) for a in (0, k))
+        h = (1 - z) * np.tanh(x[2 * k :] + g * r[2 * k :]) + z * h
+        c = max(i for i in range(len(limits) - 1) if limits[i] <= word)
+        kind, own = h @ w["wc"] + w["bc"], (h @ w["ww"] + w["bw"])[limits[c] : limits[c + 1]]
+        want += kind[c] - math.log(np.exp(kind).sum()) + own[word - limits[c]] - math.log(np.exp(own).sum())
+        before = word
+    words = np.array([*text, 1, 0])
+    got = gru.score_rows(w, limits, words, np.array([0, len(text)]), np.array([len(text), 2]), end, 4)
+    assert math.isclose(got[0], want, rel_tol=1e-5)
+
+
+def test_gru_optimiser_lasts_over_parts():
+    from lakesift.llm import gru
+
+    counts = np.array([9.0, 5, 4, 3, 2, 2, 1, 1])
+    words = np.random.default_rng(3).integers(0, 8, 96)
+    halves = [(np.arange(0, 96, 16)[i : i + 3], np.full(3, 16)) for i in (0, 3)]
+    whole, parts, anew = (gru.Trainer(gru.start(counts), gru.class_limits(counts), 0, 0.01, 0.001, 96, n) for n in (3, 3, 3))
+    whole.learn(words, np.arange(0, 96, 16), np.full(6, 16))
+    for starts, lengths in halves:
+        parts.learn(words, starts, lengths)
+    assert whole.step == parts.step == 2 and whole.seen == parts.seen == 96
+    anew.learn(words, *halves[0])
+    first = anew.w
+    anew = gru.Trainer(first, gru.class_limits(counts), 0, 0.01, 0.001, 96, 3)
+    anew.learn(words, *halves[1])
+    assert any(not np.allclose(parts.w[k], anew.w[k]) for k in parts.w)
+
+
 def test_gru_probabilities_add_up():
     from lakesift.llm import gru
 
