@@ -5,13 +5,15 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 
-from lakesift.llm import decontaminate, prefix_trie, resample
-from lakesift.llm.common import Scratch
+from lakesift.llm import decontaminate, mixing, prefix_trie, resample
+from lakesift.llm.common import Scratch, scratch_root
 from lakesift.llm.ordering import sorted_blocks, with_places
 
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -206,3 +208,35 @@ def test_rebuilt_conversations(spark):
     for c, own in turns.items():
         h = zlib.crc32(str(c).encode()) % 4
         assert got[c] == turns.get(c - c % 20, [])[:h] + own[h:]
+
+
+def test_scratch_folder_is_shared_on_a_cluster(tmp_path):
+    held = types.SimpleNamespace(isDefined=lambda: False)
+    scala = types.SimpleNamespace(getCheckpointDir=lambda: held)
+    made = []
+    context = types.SimpleNamespace(master="spark://host:7077", _jsc=types.SimpleNamespace(sc=lambda: scala), setCheckpointDir=made.append)
+    unset = types.SimpleNamespace(conf={}, sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(unset)
+    context.master = "local[2]"
+    assert scratch_root(unset) == made[0] and made[0].startswith("file:///")
+    unset.conf["spark.checkpoint.dir"] = "hdfs://host/shared"
+    assert scratch_root(unset) == "hdfs://host/shared"
+
+
+def test_shards_hold_the_mix(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    mixing.write_shards(docs, f"{tmp_path}/mix")
+    got = spark.read.parquet(f"{tmp_path}/mix")
+    count = lambda rows: collections.Counter(r.doc_id for r in rows)
+    assert set(docs.columns) < set(got.columns)
+    assert count(got.select("doc_id").collect()) == count(mixing.draw_documents(docs).select("doc_id").collect())
+    want = collections.Counter()
+    for r in mixing.query(spark, SMALL).select("doc_id", "shards").collect():
+        want.update((r.doc_id, int(x)) for x in filter(None, r.shards.split(",")))
+    assert collections.Counter((r.doc_id, int(r.shard)) for r in got.select("doc_id", "shard").collect()) == want
+    # A shard's files don't keep the order of the table they were drawn from.
+    files = collections.defaultdict(list)
+    for r in got.select("doc_id", F.input_file_name().alias("f")).collect():
+        files[r.f].append(r.doc_id)
+    assert any(ids != sorted(ids) for ids in files.values())
