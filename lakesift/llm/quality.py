@@ -101,9 +101,17 @@ def _line_fails(line: Column, rules: Rules) -> Column:
     )
 
 
+#: Columns that `judge` makes on its way.
+STEPS = ("_body", "_words", "_hashes", "_windows", "_ranked", "_again", "_lines", "_good")
+
+
 def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """The input with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text,
-    n_lines, n_removed, n_lost_words and kept."""
+    n_lines, n_removed, n_lost_words and kept.
+
+    Input columns with one of these names are replaced; those named as one of STEPS are kept."""
+    aside = {c: f"{c} of the input" for c in docs.columns if c in STEPS}
+    docs, text = docs.withColumnsRenamed(aside), aside.get(text, text)
     k = rules.window
     body = F.coalesce(F.col(text), F.lit(""))
     full = docs.withColumn("_body", body).withColumn("_words", words_of(F.col(text)))
@@ -149,7 +157,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFr
     ).withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= rules.max_lost_percent * F.col("n_words"))
     )
-    return out.drop("_body", "_words", "_hashes", "_windows", "_ranked", "_again", "_lines", "_good")
+    return out.drop(*STEPS).withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SMALL
 
-from lakesift.llm import decontaminate, mixing, prefix_trie, resample
+from lakesift.llm import decontaminate, mixing, prefix_trie, quality, resample
 from lakesift.llm.common import Scratch, scratch_root
 from lakesift.llm.ordering import sorted_blocks, with_places
 
@@ -240,3 +240,15 @@ def test_shards_hold_the_mix(spark, tmp_path):
     for r in got.select("doc_id", F.input_file_name().alias("f")).collect():
         files[r.f].append(r.doc_id)
     assert any(ids != sorted(ids) for ids in files.values())
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    rows = [(i, f"A line of words number {i}, which ends well. " * 9, *[f"{c}{i}" for c in quality.STEPS]) for i in range(3)]
+    plain = spark.createDataFrame(rows, ["doc_id", "text", *quality.STEPS])
+    own = quality.judge(plain)
+    bare = quality.judge(plain.select("doc_id", "text"))
+    assert own.columns == [*plain.columns, *[c for c in bare.columns if c not in plain.columns]]
+    assert own.select(plain.columns).orderBy("doc_id").collect() == [tuple(r) for r in rows]
+    assert own.select(bare.columns).orderBy("doc_id").collect() == bare.orderBy("doc_id").collect()
+    moved = plain.drop("text").withColumn("_body", F.lit(rows[0][1]))
+    assert {r.n_words for r in quality.judge(moved, text="_body").collect()} == {bare.first().n_words}
