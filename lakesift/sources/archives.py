@@ -1,7 +1,8 @@
 """Zip and tar archives as relations of entries, and the heads of the skills that they hold.
 
 An archive is a row (archive, kind, content), as Spark's binaryFile source or any other table gives it; its entries
-are read in the task that holds the row, one after the other, under limits of number, size and running total. An
+are read in the task that holds the row, one after the other, under limits of number, size and running total. Contents
+pass to Python in chunks, so a batch's size is bounded whatever the archives', and a task holds one archive at a time. An
 archive that breaks a limit or a rule gives one row with the error in place of its entries, and reading stops
 there: no more than max_total bytes are ever unpacked.
 
@@ -19,6 +20,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from lakesift.functions import frontmatter
 
 _COPY = 1 << 16
+CHUNK = 4096  # bytes of a row of content on its way to Python, where a batch has up to 10,000 rows
 ENTRIES = "archive string, nth int, path string, content binary, error string"
 
 
@@ -126,19 +129,42 @@ def unpacked(kind: str, content: bytes | None, limits: Limits) -> list[tuple[int
         return [(0, None, None, f"failed to open {kind} archive")]
 
 
+def in_chunks(df: DataFrame, keys: tuple[str, str], content: str) -> DataFrame:
+    """(two keys, pos, chunk): the rows' binary content cut into chunks, in order; a null has one null chunk."""
+    def cut(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(c) - 1), F.lit(CHUNK))
+        return F.transform(starts, lambda i: F.substring(c, i + 1, F.lit(CHUNK)))
+
+    # The one element of an array names the content: a column would be copied whole for every chunk.
+    return df.select(*keys, F.posexplode_outer(F.element_at(F.transform(F.array(content), cut), 1)).alias("pos", "chunk"))
+
+
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, object, bytes | None]]:
+    """The rows that in_chunks cut, one at a time."""
+    held: tuple | None = None
+    for batch in batches:
+        for one, other, pos, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not pos:
+                if held:
+                    yield held[0], held[1], None if held[2][0] is None else b"".join(held[2])
+                held = (one, other, [])
+            held[2].append(chunk)
+    if held:
+        yield held[0], held[1], None if held[2][0] is None else b"".join(held[2])
+
+
 def entries(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(archive, nth, path, content, error) of (archive, kind, content) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, kind, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows = unpacked(kind, content.as_py(), limits)
-                yield pa.record_batch(
-                    [pa.array([archive] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
-                     pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.string())],
-                    names=["archive", "nth", "path", "content", "error"],
-                )
+        for archive, kind, content in whole(batches):
+            rows = unpacked(kind, content, limits)
+            yield pa.record_batch(
+                [pa.array([archive] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
+                 pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.string())],
+                names=["archive", "nth", "path", "content", "error"],
+            )
 
-    return archives.select(F.col("archive").cast("string").alias("archive"), "kind", "content").mapInArrow(run, ENTRIES)
+    return in_chunks(archives.select(F.col("archive").cast("string").alias("archive"), "kind", "content"), ("archive", "kind"), "content").mapInArrow(run, ENTRIES)
 
 
 def read(spark: SparkSession, path: str, limits: Limits = Limits(), max_archive: int = 100 << 20) -> DataFrame:
@@ -207,35 +233,37 @@ def q_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads(docs.select(name.alias("skill"), name.alias("folder"), F.concat(head, body).alias("content"))).select("skill", "name", "error")
 
 
+def _pack(number: int, files: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    """(kind, content) of an archive of files with a fault by the rest of its number."""
+    fault = number % PACK_FAULTS
+    own = files + {1: [("../up.md", b"x")], 2: [("big.bin", b"0" * 3_000_000)], 3: [(f"n/{k}", b"") for k in range(120)], 5: [("C:\\x.md", b"x")]}.get(fault, [])
+    kind, out = ("zip", "tar")[number % 2], io.BytesIO()
+    if kind == "zip":
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for path, data in own:
+                z.writestr(zipfile.ZipInfo(path), data, zipfile.ZIP_DEFLATED)
+            if fault == 4:
+                link = zipfile.ZipInfo("link")
+                link.external_attr = (stat.S_IFLNK | 0o777) << 16
+                z.writestr(link, "target")
+    else:
+        with tarfile.open(fileobj=out, mode="w:gz" if number % 4 == 1 else "w") as t:
+            for path, data in own:
+                info = tarfile.TarInfo(path)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+            if fault == 4:
+                link = tarfile.TarInfo("link")
+                link.type, link.linkname = tarfile.SYMTYPE, "target"
+                t.addfile(link)
+    return kind, out.getvalue() if fault != 6 else b"no archive" + out.getvalue()[10:60]
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archives of (number, entries) rows with a fault by the rest of their number."""
-    for batch in batches:
-        rows = []
-        for number, files in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own, fault = [(f["path"], (f["text"] or "").encode()) for f in files], number % PACK_FAULTS
-            own += {1: [("../up.md", b"x")], 2: [("big.bin", b"0" * 3_000_000)], 3: [(f"n/{k}", b"") for k in range(120)], 5: [("C:\\x.md", b"x")]}.get(fault, [])
-            kind, out = ("zip", "tar")[number % 2], io.BytesIO()
-            if kind == "zip":
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    for path, data in own:
-                        z.writestr(zipfile.ZipInfo(path), data, zipfile.ZIP_DEFLATED)
-                    if fault == 4:
-                        link = zipfile.ZipInfo("link")
-                        link.external_attr = (stat.S_IFLNK | 0o777) << 16
-                        z.writestr(link, "target")
-            else:
-                with tarfile.open(fileobj=out, mode="w:gz" if number % 4 == 1 else "w") as t:
-                    for path, data in own:
-                        info = tarfile.TarInfo(path)
-                        info.size = len(data)
-                        t.addfile(info, io.BytesIO(data))
-                    if fault == 4:
-                        link = tarfile.TarInfo("link")
-                        link.type, link.linkname = tarfile.SYMTYPE, "target"
-                        t.addfile(link)
-            content = out.getvalue() if fault != 6 else b"no archive" + out.getvalue()[10:60]
-            rows.append((f"pack-{number}", kind, content))
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["archive", "kind", "content"])
+    """Archives of files (number, path, content in chunks) that come in the order of their numbers, one at a time."""
+    for number, files in groupby(whole(batches), lambda f: f[0]):
+        kind, content = _pack(number, [(path, data or b"") for _, path, data in files])
+        yield pa.record_batch([pa.array([f"pack-{number}"], pa.string()), pa.array([kind], pa.string()), pa.array([content], pa.binary())], names=["archive", "kind", "content"])
 
 
 def _archive_name(number: Column) -> Column:
@@ -245,9 +273,10 @@ def _archive_name(number: Column) -> Column:
 def q_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of up to PACK_DOCS documents, written in memory with faults by rule, and read again under limits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL")
-    number = F.floor(F.col("doc_id") / PACK_DOCS)
-    file = F.struct(F.concat(F.lit("top/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
-    packs = docs.groupBy(number.alias("number")).agg(F.array_sort(F.collect_list(file)).alias("files")).mapInArrow(_packed, "archive string, kind string, content binary")
+    path = F.concat(F.lit("top/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    files = docs.select(F.floor(F.col("doc_id") / PACK_DOCS).alias("number"), path.alias("path"), F.col("text").cast("binary").alias("content"))
+    files = files.repartition("number").sortWithinPartitions("number", "path", "content")
+    packs = in_chunks(files, ("number", "path"), "content").mapInArrow(_packed, "archive string, kind string, content binary")
     found = entries(packs, Limits(100, 50 << 20, 2 << 20))
     return found.select("archive", F.col("path").alias("entry"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), "error")
 

@@ -130,3 +130,21 @@ def test_heads_of_files(spark):
         "f": "SKILL_FRONTMATTER_TOO_LARGE: SKILL.md exceeds size limit",
     }
     assert list(fields("a: 1\nb:\n  c: 2")) == [("a", "1"), ("b", None)]
+
+
+def test_chunks(spark):
+    """Contents reach Python in bounded rows and come together again, whatever ends at a chunk's edge."""
+    sizes = [None, 0, 1, archives.CHUNK - 1, archives.CHUNK, archives.CHUNK + 1, 3 * archives.CHUNK]
+    made = [(f"a{k}", "zip", None if n is None else bytearray(k % 251 for k in range(n))) for k, n in enumerate(sizes)]
+    cut = archives.in_chunks(spark.createDataFrame(made, "archive string, kind string, content binary").coalesce(1), ("archive", "kind"), "content")
+    assert max(len(r.chunk or b"") for r in cut.collect()) == archives.CHUNK
+    for most in (1, 2, 100):
+        batches = cut.toArrow().to_batches(most)
+        assert list(archives.whole(iter(batches))) == [(a, k, None if c is None else bytes(c)) for a, k, c in made]
+
+
+def test_one_archive_a_batch(spark):
+    """Packed archives leave their task one at a time, so a task's memory doesn't grow with its rows."""
+    rows = spark.range(40).selectExpr("id AS number", "concat('top/', id) AS path", "CAST('x' AS binary) AS content").coalesce(1)
+    batches = archives.in_chunks(rows, ("number", "path"), "content").toArrow().to_batches()
+    assert [b.num_rows for b in archives._packed(iter(batches))] == [1] * 40
