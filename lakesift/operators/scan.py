@@ -37,6 +37,11 @@ SEVERITY = {rule: severity for rule, severity, _, _ in rules.RULES} | MORE_RULES
 PARSED = ("UNPINNED_RUNTIME_TOOL", "RAW_IP_URL", "URL_SHORTENER", "PASTE_SITE_URL", "REMOTE_IMAGE_URL", "RELEASE_ASSET_URL")
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".bmp", ".ico")
 ASSET_HOST, ASSET_FOLDERS = "github-releases.githubusercontent.com", ("/releases/download/", "/releases/latest/download/")
+#: Every character that a rule without needles looks for; most odd characters are letters, which none does.
+LOOKED_FOR = (
+    r"[\x00-\x1F\x7F-\x{10FFFF}&&[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}"
+    r"\x{FE00}-\x{FE0F}\x{FEFF}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]]"
+)
 VISIBLE = r"[^\t-\r \x{85}\p{Z}]"
 
 _PIN = re.compile(runtime_pin.GATE)
@@ -90,8 +95,8 @@ def _may_hold_more() -> Column:
         return (
             has("//", "npx", "uvx", "bunx", "dlx", "exec", "deno") | (has("go") & has("run")) | (has("<(") & has("curl", "wget"))
             | (has("|") & F.rlike(both, F.lit(shell.GATE))) | ((F.col("kind") == "markdown") & has("]"))
-            | ((F.length(both) >= encoded.BASE64_LEAST) & F.rlike(both, F.lit(encoded.GATE)))
-            | ((F.octet_length(both) != F.length(both)) & F.rlike(both, F.lit(encoded.MAY_CHANGE)))
+            | ((F.length(both) >= encoded.BASE64_LEAST) & F.rlike(both, F.lit(encoded.JVM_GATE)))
+            | ((F.octet_length(both) != F.length(both)) & F.rlike(both, F.lit(encoded.JVM_MAY_CHANGE)))
         )
 
     # The one element of an array names the text, so that it is made once.
@@ -172,7 +177,7 @@ def _examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rules_of(source: DataFrame) -> DataFrame:
     """source (kind, line_text, longer, raw ...) with the array `ids` of the rules that expressions tell."""
     d = Dialect()
-    with_low = source.withColumn("low", F.lower(F.concat_ws(" ", "line_text", "longer"))).withColumn("odd", F.col("raw") & F.expr(d.hit("line_text", rules.ODD)))
+    with_low = source.withColumn("low", F.lower(F.concat_ws(" ", "line_text", "longer"))).withColumn("odd", F.col("raw") & F.expr(d.hit("line_text", rules.ODD)) & F.expr(d.hit("line_text", LOOKED_FOR)))
     return with_low.withColumn("ids", F.expr(rules.found(d, PARSED)))
 
 

@@ -140,3 +140,24 @@ def test_report_decides(files):
     row = scan.report(files).first()
     assert (row.n_files, row.critical, row.decision) == (len(FILES), 4, "REJECTED")
     assert scan.report(files.filter("path = 'empty.md'")).first().decision == "PASS"
+
+
+def test_gates_of_the_jvm(spark):
+    """The JVM's forms of the tests tell the same characters and tokens as the plain ones; letters of other scripts open no rule."""
+    import re
+
+    from lakesift.operators import rules
+    from pyspark.sql import functions as F
+
+    skipped = range(0xD800, 0xE000)
+    chars = spark.range(0x110000).filter(f"id < {skipped.start} OR id >= {skipped.stop}").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    plain = [p for rule, _, _, p in rules.RULES if rule not in rules.NEEDLES and rule != "ANSI_OSC_ESCAPE_IN_TEXT"]
+    differ = chars.filter(
+        (F.rlike("c", F.lit(encoded.MAY_CHANGE)) != F.rlike("c", F.lit(encoded.JVM_MAY_CHANGE))) | (F.rlike("c", F.lit("|".join(plain))) != F.rlike("c", F.lit(scan.LOOKED_FOR)))
+    )
+    assert chars.count() == 0x110000 - len(skipped) and differ.count() == 0
+    found = chars.filter(F.rlike("c", F.lit(scan.LOOKED_FOR)) & ~F.rlike("c", F.lit(rules.ODD)))
+    assert found.count() == 0 and chars.filter(F.rlike("c", F.lit(scan.LOOKED_FOR))).filter("c IN ('ü', 'ж', '語')").count() == 0
+    texts = ["a" * 39, "a" * 40, "b " + "A0+/=_-9" * 5, "b " + "A0+/=_-9" * 4 + "x.y", "ü" + "Z" * 41, "x\\" + "y" * 39]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.rlike("t", F.lit(encoded.JVM_GATE))).collect()
+    assert [r[1] for r in rows] == [bool(re.search(encoded.GATE, r[0])) for r in rows] == [False, True, True, False, True, False]
