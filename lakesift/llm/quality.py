@@ -85,20 +85,26 @@ def _covered(windows: Column, window: int) -> Column:
 
 def _line_fails(line: Column, rules: Rules) -> Column:
     bare = F.translate(line, SPACES, " " * len(SPACES))  # tabs and carriage returns part and end words like blanks
-    words = F.size(F.array_remove(F.split(bare, " "), ""))
-    tail = F.rtrim(bare)
-    ended = F.right(tail, F.lit(1)).isin(*TERMINAL)
-    lower = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(lower, F.lit(phrase))
-    return (words > 0) & (
-        (~ended & (words < rules.unpunctuated_words))
-        | (count_of(line, SYMBOLS) * 100 > words * rules.line_symbol_percent)
-        | (count_of(line, "!") * 100 > words * rules.line_shout_percent)
-        | (count_of(line, "|") >= rules.nav_bars)
-        | boiler
+
+    def tests(made: Column) -> Column:
+        words, lower = made["words"], made["lower"]
+        ended = F.right(made["tail"], F.lit(1)).isin(*TERMINAL)
+        boiler = F.lit(False)
+        for phrase in BOILERPLATE:
+            boiler = boiler | F.contains(lower, F.lit(phrase))
+        return (words > 0) & (
+            (~ended & (words < rules.unpunctuated_words))
+            | (count_of(line, SYMBOLS) * 100 > words * rules.line_symbol_percent)
+            | (count_of(line, "!") * 100 > words * rules.line_shout_percent)
+            | (count_of(line, "|") >= rules.nav_bars)
+            | boiler
+        )
+
+    # The one element of an array names what the tests share, so that a line is cut and lowered once and not for every test.
+    made = F.struct(
+        F.size(F.array_remove(F.split(bare, " "), "")).alias("words"), F.rtrim(bare).alias("tail"), F.lower(line).alias("lower")
     )
+    return F.element_at(F.transform(F.array(made), tests), 1)
 
 
 #: Columns that `judge` makes on its way.
