@@ -210,14 +210,24 @@ def _best(early: DataFrame) -> DataFrame:
     return shared.groupBy(F.col("a_line_id").alias("a")).agg(F.max_by("b_line_id", F.struct("n", "b_line_id")).alias("b"))
 
 
+def _meet(early: DataFrame) -> DataFrame:
+    """(token, a_root, b_root): components that hold lines that the shingle allows to be near copies. What a pair of their
+    lines can reach at most is told here, so components that only share a late shingle don't open their lines."""
+    sides = early.groupBy("token", "root").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.col("size") - F.col("place")).alias("reach")
+    )
+    one, two = (sides.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("root", "low", "high", "reach")]) for k in "ab")
+    fit = (F.col("a_high") * 100 >= F.col("b_low") * PERCENT) & (F.col("b_high") * 100 >= F.col("a_low") * PERCENT)
+    both = F.least("a_reach", "b_reach") * (100 + PERCENT) >= (F.col("a_low") + F.col("b_low")) * PERCENT
+    return one.join(growing(two), "token").filter("a_root > b_root").filter(fit & both).select("token", "a_root", "b_root", "b_low", "b_reach")
+
+
 def _apart(early: DataFrame) -> DataFrame:
     """All pairs of lines of different components that may be near copies."""
     # Components meet first, then their lines: a large family next to a few lines costs its size.
-    sides = early.groupBy("token", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    one, two = (sides.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("root", "low", "high")]) for k in "ab")
-    fit = (F.col("a_high") * 100 >= F.col("b_low") * PERCENT) & (F.col("b_high") * 100 >= F.col("a_low") * PERCENT)
-    meet = one.join(growing(two), "token").filter("a_root > b_root").filter(fit).select("token", "a_root", "b_root")
-    pairs = meet.join(growing(_side(early, "a")), ["token", "a_root"]).join(growing(_side(early, "b")), ["token", "b_root"])
+    asks = _meet(early).join(growing(_side(early, "a")), ["token", "a_root"])
+    asks = asks.filter(F.least(F.col("a_size") - F.col("a_place"), "b_reach") * (100 + PERCENT) >= (F.col("a_size") + F.col("b_low")) * PERCENT)
+    pairs = asks.join(growing(_side(early, "b")), ["token", "b_root"])
     return _close(pairs).select(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"))
 
 

@@ -483,3 +483,13 @@ def test_pipeline_against_brute_force(spark):
     final = corpus_pipeline.run(spark, SMALL)
     assert collections.Counter(r.doc_id for r in final.collect()) == times
     assert all(r.round_trip for r in final.collect())
+
+
+def test_line_dedup_components_meet_where_a_pair_can(spark):
+    """Lines alone that share a late shingle only don't meet; those that share an early one do."""
+    n = 40
+    rows = [(1, i, i, 100, 19) for i in range(n)] + [(2, i, i, 100, 5) for i in (0, 1)]
+    early = spark.createDataFrame(rows, "token long, line_id long, root long, size int, place int")
+    got = [(r.token, r.a_root, r.b_root) for r in line_dedup._meet(early).collect()]
+    assert got == [(2, 1, 0)]
+    assert [tuple(r) for r in line_dedup._apart(early).collect()] == [(1, 0)]
