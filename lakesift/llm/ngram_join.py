@@ -12,10 +12,12 @@ A document is the set of its distinct word shingles; two documents link when
 3. Similar documents are partitioned into groups: in STAR_ROUNDS rounds each index token names one of its holders,
    documents of other groups that share enough with that holder are verified against it, and verified stars form
    groups.
-4. The token-group matrix holds each group's union of index tokens. A query document's overlap with a group's
-   union bounds its overlap with every member; only groups that reach l are opened, and only members of a
-   fitting size that share l index tokens themselves are verified. Pairs inside one group are linked already and
-   never expanded, so a group of near copies costs its size, not its square.
+4. Pairs of different groups meet in the token-group matrix: the index tokens that several groups hold, in one order by
+   their number of holders. Two documents that share l of them share one that is none of the l - 1 most held of
+   either, for whatever the pair, its least held shared token has the other l - 1 before it in both. Those tokens,
+   which all of a family hold, form no pairs. Pairs that meet must show l index tokens at places that count, and
+   are then verified. Pairs inside one group are linked already and never expanded, so a group of near copies
+   costs its size, not its square.
 5. Union-find over all links.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even each other;
@@ -141,6 +143,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     )
 
 
+def _prefixes(grouped: DataFrame) -> DataFrame:
+    """(id, n, group, tokens): of each document the index tokens that several groups hold, those of most holders first."""
+    often = grouped.groupBy("token").agg(F.count("*").alias("often"), F.min("group").alias("low"), F.max("group").alias("high"))
+    often = often.filter("low < high").select("token", "often")
+    ordered = F.sort_array(F.collect_list(F.struct("often", "token", "pos")), asc=False)
+    return grouped.join(growing(often), "token").groupBy("id", "n", "group").agg(ordered.alias("tokens"))
+
+
 def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id): one row for each row of docs."""
     spark = docs.sparkSession
@@ -175,13 +185,14 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     def fits(n, m):
         return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
-    def least_shared(n):
-        return _spare(F.floor(F.col(n) * percent / 100))
+    def least_shared(n, m):
+        """l of a pair: one that is right for the places of both."""
+        return _spare(F.floor(F.greatest(n, m) * percent / 100))
 
     def early(pos, n, m):
         """Whether a place of a set of size n counts for a partner of size m; the larger m, the fewer places do."""
-        both = F.ceil((F.col(n) + m) * percent / (100 + percent))
-        return F.col(pos) < F.col(n) - both + least_shared("n")
+        both = F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
+        return F.col(pos) < F.col(n) - both + least_shared(n, m)
 
     def grouped_by(links: DataFrame) -> DataFrame:
         groups = roots(links, scratch).withColumnRenamed("node", "id")
@@ -193,31 +204,26 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         by = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
         one = grouped.groupBy("token").agg(F.min(F.struct(by.alias("by"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group"))).alias("lead"))
         near = grouped.join(growing(one.select("token", "lead.*")), "token").filter("group <> b_group").filter(fits("n", "m"))
-        near = near.filter(early("pos", "n", F.col("m")) & early("b_pos", "m", F.col("n")))
-        near = near.groupBy(F.col("id").alias("a"), "b", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least_shared("n"))
+        near = near.filter(early("pos", "n", "m") & early("b_pos", "m", "n"))
+        near = near.groupBy(F.col("id").alias("a"), "b", "n", "m").agg(F.count("*").alias("c")).filter(F.col("c") >= least_shared("n", "m"))
         found = scratch.write(_verified(scratch.write(near.select("a", "b"), "stars"), docs, width, percent), "star-links")
         links = found if links is None else links.union(found)
         grouped = grouped_by(links)
 
-    # The matrix: a group's union of index tokens, the span of its members' sizes, and the earliest place of the token.
-    matrix = grouped.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.col("pos") - F.col("n")).alias("place"))
-    queries = grouped.select("token", F.col("id").alias("a"), "n", "pos", F.col("group").alias("own"))
-    # Of two groups, the documents of the one with the larger root ask the other.
-    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    both = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
-    opened = (
-        queries.join(growing(matrix), "token").filter("own > group")
-        .filter((F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent))
-        .filter(early("pos", "n", smallest) & (F.col("place") < least_shared("n") - both))
-        .groupBy("a", "n", "group").agg(F.count("*").alias("c"))
-        .filter(F.col("c") >= least_shared("n")).select("a", "n", "group")
-    )
-    opened = scratch.write(opened, "opened")
-    asked = opened.join(growing(queries.drop("own")), ["a", "n"])
-    members = grouped.select("token", "group", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("b_pos"))
-    pairs = asked.join(growing(members), ["token", "group"]).filter(fits("n", "m"))
-    pairs = pairs.filter(early("pos", "n", F.col("m")) & early("b_pos", "m", F.col("n")))
-    pairs = pairs.groupBy("a", "b", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least_shared("n")).select("a", "b").distinct()
+    prefixes = scratch.write(_prefixes(grouped), "prefixes")
+    asked = prefixes.select("id", "n", "group", F.explode(F.slice("tokens", _spare(F.floor(F.col("n") * percent / 100)).cast("int"), F.size("tokens"))).alias("t"))
+    asked = asked.select("id", "n", "group", "t.token", "t.pos")
+    other = asked.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group"))
+    met = asked.withColumnRenamed("id", "a").join(growing(other), "token").filter("group > b_group").filter(fits("n", "m"))
+    met = scratch.write(met.filter(early("pos", "n", "m") & early("b_pos", "m", "n")).select("a", "n", "b", "m").distinct(), "met")
+    one, two = (prefixes.select(F.col("id").alias(k), F.col("n").alias(n), F.col("tokens").alias(f"t{k}")) for k, n in ("an", "bm"))
+    both = met.join(growing(one), ["a", "n"]).join(growing(two), ["b", "m"])
+    limit = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - least_shared("n", "m")
+
+    def counting(tokens, n):
+        return F.transform(F.filter(tokens, lambda t: t["pos"] < F.col(n) - limit), lambda t: t["token"])
+
+    pairs = both.filter(F.size(F.array_intersect(counting("ta", "n"), counting("tb", "m"))) >= least_shared("n", "m")).select("a", "b").distinct()
     more = _verified(scratch.write(pairs, "pairs"), docs, width, percent)
 
     ends = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).union(links).union(more)

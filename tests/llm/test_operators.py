@@ -485,6 +485,43 @@ def test_pipeline_against_brute_force(spark):
     assert all(r.round_trip for r in final.collect())
 
 
+def test_ngram_join_sizes_on_either_side_of_a_step(spark):
+    """A pair whose sizes ask for different numbers of shared index tokens: 71 shingles, 61 of them the other's, which is just enough."""
+    rows = []
+    for k in range(40):
+        long = [f"w{k}x{i}" for i in range(74)]
+        rows += [(2 * k, " ".join(long[:64])), (2 * k + 1, " ".join(long))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (71 if i % 2 else 61, i - i % 2) for i in range(80)}
+
+
+def test_ngram_join_strays_form_few_pairs(spark):
+    """Documents of one family that are no near copies: tokens that all of them hold form no pairs."""
+    from lakesift.llm.common import Scratch
+
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(120):  # each lacks other words, too many for a link
+        own = list(base)
+        for j in range(6):
+            own[(k * 7 + j * 25) % 150] = f"v{k}x{j}"
+        rows.append((k, " ".join(own)))
+    met, write = [], Scratch.write
+
+    def spied(self, df, name, by=None):
+        out = write(self, df, name, by)
+        if name in ("met", "opened"):
+            met.append(out.count())
+        return out
+
+    Scratch.write = spied
+    try:
+        got = {r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        Scratch.write = write
+    assert len(got) > 60 and len(met) == 1 and met[0] < 120 * 119 / 2 / 3
+
+
 def test_line_dedup_components_meet_where_a_pair_can(spark):
     """Lines alone that share a late shingle only don't meet; those that share an early one do."""
     n = 40
