@@ -12,6 +12,7 @@ import numpy as np
 
 HIDDEN = 24
 CLASSES = 48
+SCORED = 1 << 15  # words whose probabilities are made together
 WINDOW = 16  # steps that gradients go back
 
 
@@ -37,7 +38,11 @@ def start(counts: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def run(w: dict, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
@@ -57,21 +62,32 @@ def run(w: dict, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool =
     return out, held
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One entry of each row's logarithms; x is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(at)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
 def log_probabilities(w: dict, limits: np.ndarray, states: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each word after its state."""
     of = np.searchsorted(limits, words, side="right") - 1
-    out = _log_softmax(states @ w["wc"] + w["bc"])[np.arange(len(words)), of]
+    out = _log_softmax_at(states @ w["wc"] + w["bc"], of)
     order = np.argsort(of, kind="stable")
     at = np.searchsorted(of[order], np.arange(len(limits)))
     for c in range(len(limits) - 1):
         a, b, rows = limits[c], limits[c + 1], order[at[c] : at[c + 1]]
         if b - a > 1 and len(rows):
-            out[rows] += _log_softmax(states[rows] @ w["ww"][:, a:b] + w["bw"][a:b])[np.arange(len(rows)), words[rows] - a]
+            out[rows] += _log_softmax_at(states[rows] @ w["ww"][:, a:b] + w["bw"][a:b], words[rows] - a)
     return out
 
 
@@ -90,7 +106,7 @@ def _gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray,
     flat, y = states.reshape(-1, HIDDEN), words.ravel()
     scale = (use.ravel() / max(1, use.sum())).astype(np.float32)
     of = np.searchsorted(limits, y, side="right") - 1
-    d = np.exp(_log_softmax(flat @ w["wc"] + w["bc"]))
+    d = _softmax(flat @ w["wc"] + w["bc"])
     d[np.arange(len(y)), of] -= 1
     d *= scale[:, None]
     g = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
@@ -101,26 +117,27 @@ def _gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray,
     for c in range(len(limits) - 1):
         a, b, rows = limits[c], limits[c + 1], order[at[c] : at[c + 1]]
         if b - a > 1 and len(rows):
-            own = np.exp(_log_softmax(flat[rows] @ w["ww"][:, a:b] + w["bw"][a:b]))
+            own = _softmax(flat[rows] @ w["ww"][:, a:b] + w["bw"][a:b])
             own[np.arange(len(rows)), y[rows] - a] -= 1
             own *= scale[rows, None]
             g["ww"][:, a:b], g["bw"][a:b] = flat[rows].T @ own, own.sum(axis=0)
             back[rows] += own @ w["ww"][:, a:b].T
     back = back.reshape(steps, lanes, HIDDEN)
     dh = np.zeros((lanes, HIDDEN), np.float32)
-    dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+    k = HIDDEN
+    dx, du = (np.empty((steps, lanes, 3 * k), np.float32) for _ in range(2))
     for t in range(steps - 1, -1, -1):
         before, z, gate, new, rn = held[t]
         dh = dh + back[t]
         dn = dh * (1 - z) * (1 - new * new)
         dz = dh * (before - new) * z * (1 - z)
         dr = dn * rn * gate * (1 - gate)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * gate], axis=1)
-        g["u"] += before.T @ du
-        dh = dh * z + du @ w["u"].T
+        dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dz, dr, dn
+        du[t], du[t, :, 2 * k :] = dx[t], dn * gate
+        dh = dh * z + du[t] @ w["u"].T
         if fresh[t].any():
             dh = np.where(fresh[t][:, None], np.float32(0), dh)
+    g["u"] = np.concatenate([h[0] for h in held]).T @ du.reshape(-1, 3 * k)
     hit, where = np.unique(ids.ravel(), return_inverse=True)
     by = np.argsort(where, kind="stable")
     sums = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[by], np.searchsorted(where[by], np.arange(len(hit))), axis=0)
@@ -151,7 +168,7 @@ def streams(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: i
     if not dealt:
         return
     total = np.array([int(lengths[rows].sum()) for rows in dealt])
-    places = np.full((len(dealt), -(-int(total[0]) // WINDOW) * WINDOW), -1, np.int64)
+    places = np.full((len(dealt), -(-int(total[0]) // WINDOW) * WINDOW), -1, np.int32 if len(words) < 1 << 31 else np.int64)
     first, begins, counts = np.zeros(places.shape, bool), np.zeros(places.shape, bool), np.ones(places.shape, bool)
     for k, rows in enumerate(dealt):
         own = np.array(rows)
@@ -223,7 +240,7 @@ def score_rows(w: dict, limits: np.ndarray, words: np.ndarray, starts: np.ndarra
         states, _ = run(w, inputs, fresh, h[: inputs.shape[1]])
         h = states[-1]
         held.append((states[use], y[use], at[use]))
-        if sum(len(x[1]) for x in held) >= 8192:
+        if sum(len(x[1]) for x in held) >= SCORED:
             flush()
     if held:
         flush()

@@ -46,6 +46,7 @@ START_BYTES = 16 << 10
 LANES, TRAIN_LANES = 256, 512
 START_RATE, RATE = 0.01, 0.015
 CHUNK = 3 << 20  # bytes of text scored together
+HASHED = 1 << 19  # bytes of text hashed together
 END = np.uint64(0xE0D0FA11D0C5)
 PART = 8192  # weights in a block of the average
 ROUNDS = 2
@@ -54,8 +55,9 @@ HELD = 1 << 19  # tokens that are dealt to lanes together
 
 
 def _token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes with an end for each row, tokens of each row)."""
-    words, counts = word_hashes(raw, offsets)
+    """(hashes with an end for each row, tokens of each row). Bytes are hashed in parts, whose helper arrays take many times their room."""
+    parts = [word_hashes(raw, offsets[at : to + 1]) for at, to in row_chunks(offsets, HASHED)]
+    words, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else word_hashes(raw, offsets)
     lengths = counts + 1
     out = np.full(lengths.sum(), END, np.uint64)
     out[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words

@@ -530,3 +530,22 @@ def test_line_dedup_components_meet_where_a_pair_can(spark):
     got = [(r.token, r.a_root, r.b_root) for r in line_dedup._meet(early).collect()]
     assert got == [(2, 1, 0)]
     assert [tuple(r) for r in line_dedup._apart(early).collect()] == [(1, 0)]
+
+
+def test_lm_hashes_long_batches_in_parts():
+    """Helper arrays of the hashing are bounded, whatever the batch holds; the hashes are the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["some words of a text, Over and over " * 40, None, "", "a"] * 1000)
+    raw, offsets = lm.text_buffers(texts)
+    hashes, lengths = lm._token_hashes(raw, offsets)
+    one = [lm._token_hashes(*lm.text_buffers(texts.slice(i, 1))) for i in range(4)]
+    assert lengths.tolist() == [len(h) for h, _ in one] * 1000 and (hashes == np.concatenate([h for h, _ in one] * 1000)).all()
+    assert lm._token_hashes(raw[:0], offsets[:1])[1].tolist() == []
+    tracemalloc.start()
+    lm._token_hashes(raw, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * len(raw)  # 20 and more, where all bytes were hashed at once
