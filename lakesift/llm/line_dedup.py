@@ -15,8 +15,9 @@ line number.
 3. Banding: in LEAD_ROUNDS rounds the lines of each band are held against one of them, if the two aren't in one
    component yet. Of bands that still hold several components, those of up to FEW lines have all their pairs compared;
    larger ones give their lines to a prefix filter: a line's shingles are put in the order of how many of these lines
-   have them, and two near copies share one of the first fifth of both. Pairs are formed where components meet in such a
-   shingle, if lengths and places in the order allow a near copy; lines of one template, which share common shingles
+   have them, after those that only its component has, and two near copies share one of the first fifth of both. Pairs
+   are formed where components meet in such a shingle, at the first that two lines share, if lengths and places in the
+   order allow a near copy; lines of one template, which share common shingles
    only, don't meet. First each line is held against the one that shares most such shingles with it, which leaves few
    components. Both ways are exact: once two lines share a band, the chance of which is
    1 - (1 - similarity ** ROWS) ** BANDS, neither can lose them.
@@ -177,15 +178,16 @@ def _all_pairs(rows: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _early(rows: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     """(token, line_id, root, size, place): of each line the shingles that come first by how many of the lines have them,
-    so many that near copies share one. Shingles of one component only are left out."""
+    so many that near copies share one. Shingles of one component only come before all others: no line of another one has
+    them, so they take places and are left out."""
     own = rows.select("line_id", "root").distinct().join(growing(held.select("line_id", "line")), "line_id")
     own = own.withColumn("set", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
     every = scratch.write(own.select("line_id", "root", F.size("set").alias("size"), F.explode_outer("set").alias("token")), "shingles")
-    often = every.groupBy("token").agg(F.count("*").alias("n"))
-    ordered = every.join(growing(often), "token").groupBy("line_id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
+    ordered = _open(every, "token").groupBy("line_id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
     least = F.ceil(F.col("size") * PERCENT / 100).cast("int")  # what a near copy of any size shares
-    first = ordered.select("line_id", "root", "size", F.posexplode_outer(F.slice("order", F.lit(1), F.col("size") - least + 1)).alias("place", "one"))
-    early = scratch.write(first.select("line_id", "root", "size", "place", "one.n", "one.token").filter("n > 1").drop("n"), "early")
+    ordered = ordered.withColumn("alone", F.col("size") - F.size("order")).withColumn("many", F.col("size") - least + 1 - F.col("alone")).filter("many > 0")
+    first = ordered.select("line_id", "root", "size", "alone", F.posexplode_outer(F.slice("order", F.lit(1), F.col("many"))).alias("at", "one"))
+    early = scratch.write(first.select("line_id", "root", "size", (F.col("alone") + F.col("at")).alias("place"), "one.token"), "early")
     scratch.drop(every)
     return scratch.write(_open(early, "token").drop("n"), "open-shingles")
 
@@ -197,8 +199,8 @@ def _close(pairs: DataFrame) -> DataFrame:
     return pairs.filter(fit & (both * (100 + PERCENT) >= (F.col("a_size") + F.col("b_size")) * PERCENT))
 
 
-def _side(early: DataFrame, side: str) -> DataFrame:
-    return early.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("root", "line_id", "size", "place")])
+def _side(early: DataFrame, side: str, *more: str) -> DataFrame:
+    return early.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("root", "line_id", "size", "place", *more)])
 
 
 def _best(early: DataFrame) -> DataFrame:
@@ -222,13 +224,21 @@ def _meet(early: DataFrame) -> DataFrame:
     return one.join(growing(two), "token").filter("a_root > b_root").filter(fit & both).select("token", "a_root", "b_root", "b_low", "b_reach")
 
 
+def _led_by(early: DataFrame) -> DataFrame:
+    """The rows with `before`: the line's shingles that come before the row's own."""
+    own = early.groupBy("line_id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("order"))
+    own = own.select("line_id", "root", "size", "order", F.posexplode_outer("order").alias("at", "one"))
+    return own.select("one.token", "line_id", "root", "size", "one.place", F.slice(F.col("order.token"), F.lit(1), F.col("at")).alias("before"))
+
+
 def _apart(early: DataFrame) -> DataFrame:
-    """All pairs of lines of different components that may be near copies."""
+    """All pairs of lines of different components that may be near copies, each formed at the first shingle that they share."""
     # Components meet first, then their lines: a large family next to a few lines costs its size.
-    asks = _meet(early).join(growing(_side(early, "a")), ["token", "a_root"])
+    rows = _led_by(early)
+    asks = _meet(early).join(growing(_side(rows, "a", "before")), ["token", "a_root"])
     asks = asks.filter(F.least(F.col("a_size") - F.col("a_place"), "b_reach") * (100 + PERCENT) >= (F.col("a_size") + F.col("b_low")) * PERCENT)
-    pairs = asks.join(growing(_side(early, "b")), ["token", "b_root"])
-    return _close(pairs).select(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"))
+    pairs = _close(asks.join(growing(_side(rows, "b", "before")), ["token", "b_root"])).filter(~F.arrays_overlap("a_before", "b_before"))
+    return pairs.select(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"))
 
 
 def _links(seen: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:

@@ -532,6 +532,14 @@ def test_line_dedup_components_meet_where_a_pair_can(spark):
     assert [tuple(r) for r in line_dedup._apart(early).collect()] == [(1, 0)]
 
 
+def test_line_dedup_pairs_form_once(spark):
+    """A line alone and a family's line that share several early shingles form one pair, at the first of them."""
+    rows = [(t, i, i if i == 99 else 0, 100, place) for i in (*range(5), 99) for t, place in ((1, 2), (2, 3), (3, 5 if i else 7))]
+    early = spark.createDataFrame(rows, "token long, line_id long, root long, size int, place int")
+    got = sorted(tuple(r) for r in line_dedup._apart(early).collect())
+    assert got == [(99, i) for i in range(5)]
+
+
 def test_lm_hashes_long_batches_in_parts():
     """Helper arrays of the hashing are bounded, whatever the batch holds; the hashes are the same."""
     import tracemalloc
