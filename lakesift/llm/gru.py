@@ -14,6 +14,8 @@ HIDDEN = 24
 CLASSES = 48
 SCORED = 1 << 15  # words whose probabilities are made together
 WINDOW = 16  # steps that gradients go back
+TOGETHER = 1 << 12  # of them that share the arrays of their classes
+LONG_RUN = 24  # rows that are summed on their own
 
 
 def class_limits(counts: np.ndarray) -> np.ndarray:
@@ -45,49 +47,92 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def run(w: dict, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+def _gates(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(x, u) by gates, so that what a step reads and makes of each gate lies together."""
+    return tuple(np.ascontiguousarray(w[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) for k in "xu")
+
+
+def run(w: dict, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False, gates: tuple | None = None) -> tuple[np.ndarray, list]:
     """States (steps, lanes, HIDDEN) that read ids; the state is 0 where fresh. keep: what backpropagation needs."""
-    k, out, held = HIDDEN, np.empty((*ids.shape, HIDDEN), np.float32), []
+    out, held = np.empty((*ids.shape, HIDDEN), np.float32), []
+    xs, us = gates or _gates(w)
     for t in range(len(ids)):
         if fresh[t].any():
             h = np.where(fresh[t][:, None], np.float32(0), h)
-        x, r = w["x"][ids[t]], h @ w["u"]
-        gates = _sigmoid(x[:, : 2 * k] + r[:, : 2 * k])
-        z, g = gates[:, :k], gates[:, k:]
-        new = np.tanh(x[:, 2 * k :] + g * r[:, 2 * k :])
+        x, r = xs.take(ids[t], axis=1), h @ us
+        x[:2] += r[:2]
+        z, g = _sigmoid(x[:2])
+        new = x[2]
+        new += g * r[2]
+        np.tanh(new, out=new)
         if keep:
-            held.append((h, z, g, new, r[:, 2 * k :]))
-        h = new + z * (h - new)
+            held.append((h, z, g, new, r[2]))
+        h = h - new
+        h *= z
+        h += new
         out[t] = h
     return out, held
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
+    """Of each column, in place: sums along columns are made of whole rows, which costs less than row by row."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One entry of each row's logarithms; x is used up."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(at)), at]
+    """One entry of each column's logarithms; x is used up."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(len(at))]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x.sum(axis=0))
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """(entries, states)."""
+    out = weights.T @ states.T
+    out += bias[:, None]
+    return out
+
+
+def _by_class(limits: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the words by class, their classes in this order, where each class begins and ends in it)."""
+    of = np.repeat(np.arange(len(limits) - 1, dtype=np.int16), np.diff(limits))[words]  # 16 bits are sorted by radix
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    return order, of, np.searchsorted(of, np.arange(len(limits)))
 
 
 def log_probabilities(w: dict, limits: np.ndarray, states: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each word after its state."""
-    of = np.searchsorted(limits, words, side="right") - 1
-    out = _log_softmax_at(states @ w["wc"] + w["bc"], of)
-    order = np.argsort(of, kind="stable")
-    at = np.searchsorted(of[order], np.arange(len(limits)))
+    order, of, at = _by_class(limits, words)
+    states, words = states[order], words[order]
+    own = np.empty(len(words), np.float32)
+    for i in range(0, len(words), TOGETHER):
+        part = slice(i, i + TOGETHER)
+        own[part] = _log_softmax_at(_logits(w["wc"], w["bc"], states[part]), of[part])
     for c in range(len(limits) - 1):
-        a, b, rows = limits[c], limits[c + 1], order[at[c] : at[c + 1]]
-        if b - a > 1 and len(rows):
-            out[rows] += _log_softmax_at(states[rows] @ w["ww"][:, a:b] + w["bw"][a:b], words[rows] - a)
+        a, b, rows = limits[c], limits[c + 1], slice(at[c], at[c + 1])
+        if b - a > 1 and at[c + 1] > at[c]:
+            own[rows] += _log_softmax_at(_logits(w["ww"][:, a:b], w["bw"][a:b], states[rows]), words[rows] - a)
+    out = np.empty_like(own)
+    out[order] = own
+    return out
+
+
+def _run_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows; long runs one by one, the others all together, a row of each at a time."""
+    n = np.diff(np.append(starts, len(rows)))
+    out = rows.take(starts, axis=0)
+    for i in np.flatnonzero(n > LONG_RUN):
+        out[i] = rows[starts[i] : starts[i] + n[i]].sum(axis=0)
+    some = np.flatnonzero((n > 1) & (n <= LONG_RUN))
+    some = some[np.argsort(-n[some], kind="stable")]
+    for k in range(1, int(n[some].max(initial=1))):
+        more = some[: np.searchsorted(-n[some], -k)]
+        out[more] += rows.take(starts[more] + k, axis=0)
     return out
 
 
@@ -103,25 +148,25 @@ def _gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray,
     """(gradients of all weights but `x`, the rows of `x` that were read, their gradients, last state)."""
     steps, lanes = ids.shape
     states, held = run(w, ids, fresh, h, keep=True)
-    flat, y = states.reshape(-1, HIDDEN), words.ravel()
-    scale = (use.ravel() / max(1, use.sum())).astype(np.float32)
-    of = np.searchsorted(limits, y, side="right") - 1
-    d = _softmax(flat @ w["wc"] + w["bc"])
-    d[np.arange(len(y)), of] -= 1
-    d *= scale[:, None]
+    order, of, at = _by_class(limits, words.ravel())
+    flat, y = states.reshape(-1, HIDDEN).take(order, axis=0), words.ravel()[order]
+    scale = (use.ravel()[order] / max(1, use.sum())).astype(np.float32)
+    d = _softmax(_logits(w["wc"], w["bc"], flat))
+    d[of, np.arange(len(y))] -= 1
+    d *= scale
     g = {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
-    g["wc"], g["bc"] = flat.T @ d, d.sum(axis=0)
-    back = d @ w["wc"].T
-    order = np.argsort(of, kind="stable")
-    at = np.searchsorted(of[order], np.arange(len(limits)))
+    g["wc"], g["bc"] = (d @ flat).T, d.sum(axis=1)
+    sent = d.T @ w["wc"].T
     for c in range(len(limits) - 1):
-        a, b, rows = limits[c], limits[c + 1], order[at[c] : at[c + 1]]
-        if b - a > 1 and len(rows):
-            own = _softmax(flat[rows] @ w["ww"][:, a:b] + w["bw"][a:b])
-            own[np.arange(len(rows)), y[rows] - a] -= 1
-            own *= scale[rows, None]
-            g["ww"][:, a:b], g["bw"][a:b] = flat[rows].T @ own, own.sum(axis=0)
-            back[rows] += own @ w["ww"][:, a:b].T
+        a, b, rows = limits[c], limits[c + 1], slice(at[c], at[c + 1])
+        if b - a > 1 and at[c + 1] > at[c]:
+            own = _softmax(_logits(w["ww"][:, a:b], w["bw"][a:b], flat[rows]))
+            own[y[rows] - a, np.arange(own.shape[1])] -= 1
+            own *= scale[rows]
+            g["ww"][:, a:b], g["bw"][a:b] = (own @ flat[rows]).T, own.sum(axis=1)
+            sent[rows] += own.T @ w["ww"][:, a:b].T
+    back = np.empty_like(sent)
+    back[order] = sent
     back = back.reshape(steps, lanes, HIDDEN)
     dh = np.zeros((lanes, HIDDEN), np.float32)
     k = HIDDEN
@@ -138,9 +183,10 @@ def _gradients(w: dict, limits: np.ndarray, ids: np.ndarray, fresh: np.ndarray,
         if fresh[t].any():
             dh = np.where(fresh[t][:, None], np.float32(0), dh)
     g["u"] = np.concatenate([h[0] for h in held]).T @ du.reshape(-1, 3 * k)
-    hit, where = np.unique(ids.ravel(), return_inverse=True)
-    by = np.argsort(where, kind="stable")
-    sums = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[by], np.searchsorted(where[by], np.arange(len(hit))), axis=0)
+    read = ids.ravel().astype(np.uint16 if len(w["x"]) <= 1 << 16 else np.int64)
+    by = np.argsort(read, kind="stable")
+    starts = np.flatnonzero(np.diff(read[by], prepend=read[by[:1]] + 1))
+    hit, sums = read[by[starts]].astype(np.int64), _run_sums(dx.reshape(-1, 3 * HIDDEN).take(by, axis=0), starts)
     return g, hit, sums, states[-1]
 
 
@@ -209,12 +255,23 @@ class Trainer:
             clip = np.float32(min(1.0, 1.0 / (size + 1e-12)))
             a, b = 1 - 0.9**self.step, 1 - 0.99**self.step
             for k, v in (*g.items(), ("x", sums)):
-                rows = hit if k == "x" else slice(None)
-                v = v * clip
-                one = self.one[k][rows] + np.float32(0.1) * (v - self.one[k][rows])
-                two = self.two[k][rows] + np.float32(0.01) * (v * v - self.two[k][rows])
-                self.one[k][rows], self.two[k][rows] = one, two
-                self.w[k][rows] -= np.float32(now / a) * one / (np.sqrt(two / np.float32(b)) + np.float32(1e-8))
+                v *= clip
+                one, two = (m[k].take(hit, axis=0) if k == "x" else m[k] for m in (self.one, self.two))
+                one += np.float32(0.1) * (v - one)
+                v *= v
+                v -= two
+                v *= np.float32(0.01)
+                two += v
+                np.divide(two, np.float32(b), out=v)
+                np.sqrt(v, out=v)
+                v += np.float32(1e-8)
+                np.divide(one, v, out=v)
+                v *= np.float32(now / a)
+                if k == "x":
+                    self.one[k][hit], self.two[k][hit] = one, two
+                    self.w[k][hit] -= v
+                else:
+                    self.w[k] -= v
 
 
 def train(w: dict, limits: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int, rate: float, lanes: int, epochs: int = 1) -> dict:
@@ -236,8 +293,9 @@ def score_rows(w: dict, limits: np.ndarray, words: np.ndarray, starts: np.ndarra
         each[at] = log_probabilities(w, limits, states, y)
         held.clear()
 
+    gates = _gates(w)
     for inputs, fresh, y, at, use in streams(words, starts, lengths, lanes, end):
-        states, _ = run(w, inputs, fresh, h[: inputs.shape[1]])
+        states, _ = run(w, inputs, fresh, h[: inputs.shape[1]], gates=gates)
         h = states[-1]
         held.append((states[use], y[use], at[use]))
         if sum(len(x[1]) for x in held) >= SCORED:

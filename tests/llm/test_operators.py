@@ -557,3 +557,13 @@ def test_lm_hashes_long_batches_in_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 15 * len(raw)  # 20 and more, where all bytes were hashed at once
+
+
+def test_gru_sums_runs_of_any_length():
+    """Gradients of words that are read seldom, often and very often add up as row by row."""
+    gru = lm.gru
+    lengths = np.array([1, gru.LONG_RUN + 1, 2, 1, gru.LONG_RUN, 7, 300, 1])
+    rows = np.random.default_rng(3).normal(size=(lengths.sum(), 5))
+    starts = np.cumsum(lengths) - lengths
+    assert np.allclose(gru._run_sums(rows, starts), np.add.reduceat(rows, starts, axis=0))
+    assert np.allclose(gru._run_sums(rows[:3], np.arange(3)), rows[:3]) and gru._run_sums(rows[:0], starts[:0]).shape == (0, 5)
