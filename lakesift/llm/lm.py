@@ -6,7 +6,7 @@ documents, on 64-bit hashes of the words: each task counts its own, one shuffle
 The recurrent model knows the most frequent tokens, as many as make up COVER of all, within LEAST_WORDS and MOST_WORDS; every other word is first predicted as one unknown
 word and then among the other words by (c + 1) / (their counts + their number + 1), so the probabilities of all words
 and of one unseen word add up to 1. Its weights start on a bounded sample on the driver and then train on all training
-documents, once each, in ROUNDS rounds: a round deals its documents to shards by their ids, each task trains one shard by
+documents, once each, in ROUNDS rounds: a round deals its documents to shards by their ids, a task trains each of its shards by
 truncated backpropagation with one optimiser from its first document to its last, and the average of all shards by their
 numbers of tokens, in two levels of groups, starts the next round. State is carried from window to window through a
 text; a text of more than SEGMENT tokens trains in segments, of which each later one first reads the WARM tokens
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ END = np.uint64(0xE0D0FA11D0C5)
 PART = 8192  # weights in a block of the average
 ROUNDS = 2
 SHARD = 1 << 20  # tokens of a shard at least; larger tables have more shards, and larger ones
+SPREAD = 4  # partitions for each shard, so that few shards meet in one
 HELD = 1 << 19  # tokens that are dealt to lanes together
 
 
@@ -133,10 +135,27 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(shard, its rows) for each run of rows of one shard."""
+    for batch in batches:
+        if batch.num_columns == 1:
+            yield TaskContext.get().partitionId(), batch
+            continue
+        of = batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        yield from ((int(of[at]), batch.slice(at, to - at)) for at, to in pairwise(cuts) if to > at)
+
+
 def _trained(shared, planned: float = HELD, rate: float = RATE, last: float = RATE / 10):
-    """One row for each block of a task's weights, after training on all documents of the task."""
+    """One row for each block of a shard's weights, after training on all documents of the shard.
+
+    Batches have texts and the numbers of their shards, which follow one another; without numbers a task is one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, own in groupby(_by_shard(batches), lambda x: x[0]):
+            yield from one(shard, (batch for _, batch in own))
+
+    def one(shard: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, words = shared.value
         trainer = gru.Trainer(w, words.limits, words.end, rate, last, planned, TRAIN_LANES)
         total, waiting = 0, 0
@@ -163,25 +182,25 @@ def _trained(shared, planned: float = HELD, rate: float = RATE, last: float = RA
                     learn()
         learn()
         if total:
-            flat, task = _flat(trainer.w), TaskContext.get().partitionId()
+            flat = _flat(trainer.w)
             parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
             yield pa.record_batch(
-                [pa.array([task] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([float(total)] * len(parts))],
-                names=["task", "part", "weights", "tokens"],
+                [pa.array([shard] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([float(total)] * len(parts))],
+                names=["shard", "part", "weights", "tokens"],
             )
 
     return run
 
 
-WEIGHTS = "task long, part long, weights binary, tokens double"
+WEIGHTS = "shard long, part long, weights binary, tokens double"
 
 
 def _averaged(group: pa.Table) -> pa.Table:
-    group = group.sort_by("task")
+    group = group.sort_by("shard")
     tokens = group.column("tokens").to_numpy()
     total = sum(np.frombuffer(b.as_py(), np.float32) * n for b, n in zip(group.column("weights"), tokens, strict=True))
     row = {
-        "task": group.column("task")[0].as_py(), "part": group.column("part")[0].as_py(),
+        "shard": group.column("shard")[0].as_py(), "part": group.column("part")[0].as_py(),
         "weights": (total / tokens.sum()).astype(np.float32).tobytes(), "tokens": float(tokens.sum()),
     }
     return pa.Table.from_pylist([row])
@@ -209,10 +228,11 @@ def fit(train: DataFrame, words: Vocabulary) -> dict:
     for turn in range(ROUNDS):
         rate, last = (RATE * (1 - 0.9 * k / ROUNDS) for k in (turn, turn + 1))
         shared = spark.sparkContext.broadcast((w, words))
-        own = train.filter(F.pmod(lot, F.lit(ROUNDS)) == turn).repartition(shards, F.xxhash64("id"))
-        own = own.sortWithinPartitions("id", F.xxhash64("text")).select("text")
+        # Shards are a column: as many are trained, and as many weights move, whatever the number of partitions that hold them.
+        own = train.filter(F.pmod(lot, F.lit(ROUNDS)) == turn).withColumn("shard", F.pmod(F.hash(F.xxhash64("id")), F.lit(shards)))
+        own = own.repartition(SPREAD * shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("text")).select("text", "shard")
         own = own.mapInArrow(_trained(shared, tokens / shards, rate, last), WEIGHTS)
-        own = own.groupBy("part", (F.col("task") % near).alias("near")).applyInArrow(_averaged, WEIGHTS)
+        own = own.groupBy("part", (F.col("shard") % near).alias("near")).applyInArrow(_averaged, WEIGHTS)
         done = own.groupBy("part").applyInArrow(_averaged, WEIGHTS).orderBy("part").toArrow()
         if done.num_rows:
             w = _shaped(np.concatenate([np.frombuffer(b.as_py(), np.float32) for b in done.column("weights")]), w)

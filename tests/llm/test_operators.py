@@ -127,6 +127,35 @@ def test_lm_trains_on_every_token(spark):
     assert sum(r.tokens for r in rows) == sum(1 + 7 * i + 1 for i in range(40))
 
 
+def test_lm_weights_move_once_a_shard_however_many_partitions(spark, monkeypatch):
+    """A session that deals by more partitions trains as many shards, with the same scores, and moves no more weights."""
+    fold = lambda key: toxicity.fold(key, 7, 2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    frame, kept = type(docs), type(docs).repartition
+    moved, trained = [], lm._trained
+
+    def counted(*args):
+        run, seen = trained(*args), spark.sparkContext.accumulator(0)
+        moved.append(seen)
+
+        def out(batches):
+            for batch in run(batches):
+                seen.add(sum(p == 0 for p in batch.column(1).to_pylist()))
+                yield batch
+
+        return out
+
+    monkeypatch.setattr(lm, "SHARD", 1 << 14)
+    monkeypatch.setattr(lm, "_trained", counted)
+    one = {r.doc_id: r.score for r in lm.score(docs, fold).collect()}
+    first = [x.value for x in moved]
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: kept(self, max(31, n) if cols else n, *cols))
+    moved.clear()
+    many = {r.doc_id: r.score for r in lm.score(docs, fold).collect()}
+    assert first == [x.value for x in moved] and 1 < max(first) < 31
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-4) for k in one)
+
+
 def test_lm_scores_alike_however_the_table_is_partitioned(spark):
     fold = lambda key: toxicity.fold(key, 7, 2)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
