@@ -7,10 +7,12 @@ line number.
 
 1. Signature: the hashes of character shingles, sorted, are a circle; the ROWS hashes that follow each of BANDS fixed
    points on it are a band. That is MinHash by one permutation and its rotations: a band agrees with a chance of
-   similarity ** ROWS, and a difference of d shingles touches few bands of a short line. A line signs all its distinct
-   shingles, or, if at least LED_FROM distinct ones follow a lead character, those; from LED_FROM to FULL_TO it signs
-   both, so that near copies on either side of a limit meet. Lead characters are every fourth of ASCII and all others,
-   so lines of any script have many. A line signs in the pass that reads it: texts aren't shuffled.
+   similarity ** ROWS, and a difference of d shingles touches few bands of a short line. A line signs the distinct
+   shingles that follow a lead character, if they are LED_FROM at least; one with fewer those that follow one of twice as
+   many half-leads, if they are HALF_FROM at least; one with fewer all. Up to FULL_TO and HALF_TO it signs the next
+   kind too, so that near copies on either side of a limit meet. Leads are every fourth character of ASCII, half-leads
+   every second, and all others are both, so lines of any script have many. A line signs in the pass that reads it: texts
+   aren't shuffled.
 2. Equal lines meet by hash; from here on a line stands for all of its kind.
 3. Banding: in LEAD_ROUNDS rounds the lines of each band are held against one of them, if the two aren't in one
    component yet. Of bands that still hold several components, those of up to FEW lines have all their pairs compared;
@@ -33,7 +35,7 @@ table. Other columns are carried along by `drop_lines` and ignored by `judge_lin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesift.llm.common import SPACES, Scratch, growing, table
@@ -43,16 +45,21 @@ WIDTH = 8
 PERCENT = 80
 BANDS = 10
 ROWS = 3
-LED_FROM, FULL_TO = 24, 36  # shingles after lead characters: from how many they sign, and up to how many all do
+LED_FROM, FULL_TO = 24, 36  # shingles after lead characters: from how many they sign, and up to how many the next kind does
+HALF_FROM, HALF_TO = 32, 48  # the same of shingles after half-leads
 LEAD_ROUNDS = 1  # after the first
-WORDS = 8  # of 64 bits: what a line is known by before it is verified; a power of two
+WORDS = 16  # of 64 bits: what a line is known by before it is verified
 FEW = 64  # lines of a band that are held against each other as they are
 
 
 def normal(text: Column) -> Column:
     """The text with its lines in normal form, but for blanks at their ends."""
-    # Single blanks, which most are, don't match and cost nothing.
-    return F.regexp_replace(F.lower(text), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
+    # Single blanks, which most are, don't match, and texts that have no others don't meet the pattern.
+    plain = ~text.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        plain &= ~text.contains(c)
+    spaced = F.regexp_replace(F.lower(text), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
+    return F.when(plain, F.lower(text)).otherwise(spaced)
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -72,27 +79,33 @@ _STEP = (1 << 64) // BANDS
 POINTS = [-(1 << 63) + b * _STEP + _STEP // 2 for b in range(BANDS)]
 
 
-#: ASCII characters that aren't lead characters: all but every fourth. Every other character is one.
-_NO_LEAD = "".join(f"\\x{c:02x}" for c in range(128) if c % 4 != 3)
-
-
-def _led(line: Column) -> Column:
-    """The WIDTH characters after each lead character: shingles picked by what stands before them."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)[^{_NO_LEAD}](?=(.{{{WIDTH}}}))"), F.lit(1))
+def _led(line: Column, every: int) -> Column:
+    """The WIDTH characters after each lead character: shingles picked by what stands before them. One of so many
+    characters of ASCII is one, and each other character."""
+    no_lead = "".join(f"\\x{c:02x}" for c in range(128) if c % every != every - 1)
+    return F.regexp_extract_all(line, F.lit(f"(?s)[^{no_lead}](?=(.{{{WIDTH}}}))"), F.lit(1))
 
 
 def _circle(texts: Column) -> Column:
     return F.array_distinct(F.sort_array(F.transform(texts, lambda s: F.xxhash64(s))))
 
 
+def _kinds(lines: DataFrame) -> DataFrame:
+    """The input with `_h`, the hashes that a line signs by, once for each kind of signature, and their number as `kind`."""
+    out = lines.withColumn("_led", _circle(_led(F.col("line"), 4)))
+    out = out.withColumn("_half", F.when(F.size("_led") < FULL_TO, _circle(_led(F.col("line"), 2))))
+    every = F.when(F.col("_half").isNotNull() & (F.size("_half") < HALF_TO), _circle(shingles(F.col("line"))))
+    half = F.when(F.size("_half") >= HALF_FROM, F.col("_half"))
+    led = F.when(F.size("_led") >= LED_FROM, F.col("_led"))
+    kinds = F.filter(F.array(every, half, led), lambda h: h.isNotNull())
+    return out.withColumn("_kinds", kinds).select(*lines.columns, F.posexplode_outer("_kinds").alias("kind", "_h"))
+
+
 def _signed(lines: DataFrame) -> DataFrame:
-    """The input with `keys`, once for each kind of signature. What all bands share is a column of its own, so that it is made once."""
+    """The input with `keys` and `kind`, once for each kind of signature. What all bands share is a column of its own, so
+    that it is made once."""
     points = F.array(*[F.lit(p).cast("long") for p in POINTS])
-    out = lines.withColumn("_led", _circle(_led(F.col("line"))))
-    every = F.when(F.size("_led") < FULL_TO, _circle(shingles(F.col("line"))))
-    led = F.when(F.size("_led") >= LED_FROM, F.col("_led"))
-    kinds = F.filter(F.array(every, led), lambda h: h.isNotNull())
-    out = out.withColumn("_kinds", kinds).select(*lines.columns, F.explode_outer("_kinds").alias("_h"))
+    out = _kinds(lines)
     out = out.withColumns({"_m": F.sort_array(F.concat("_h", points)), "_c": F.concat("_h", F.slice("_h", 1, ROWS))})  # the circle closes
     keys = []
     for b, point in enumerate(POINTS):
@@ -101,19 +114,24 @@ def _signed(lines: DataFrame) -> DataFrame:
     return out.withColumn("keys", F.array(*keys)).drop("_h", "_m", "_c")
 
 
-def _bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
+def _hashes(line: Column) -> Column:
+    return F.transform(shingles(line), lambda s: F.xxhash64(s))
 
 
 def _prints(lines: DataFrame) -> DataFrame:
-    """line_id, line, the number of distinct shingles, and a map of WORDS * 64 bits: how often each was hit by a shingle's hash, odd or even."""
-    out = lines.withColumn("set", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
+    """line_id, line, the number of distinct shingles, and a map of WORDS * 64 bits: how often each was hit by a shingle's
+    hash, odd or even. Sorted, the hashes of a word lie together, so all words are one pass over them."""
+    # Each array is named more than once, as Spark makes it again for each use, and slower, where it can merge the columns.
+    starts = [F.lit(-(1 << 63) + w * ((1 << 64) // WORDS)).cast("long") for w in range(WORDS)]
+    out = lines.withColumn("set", F.array_distinct(_hashes(F.col("line"))))
+    out = out.withColumn("_m", F.sort_array(F.concat("set", F.array(*starts))))
+    at = [F.array_position("_m", start).cast("int") for start in starts] + [F.size("_m") + 1]
+    bit = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    parts = {f"_part{w}": F.slice("_m", at[w] + 1, at[w + 1] - at[w] - 1) for w in range(WORDS)}
+    out = out.select("line_id", "line", F.size("set").alias("size"), *[part.alias(name) for name, part in parts.items()])
     none = F.lit(0).cast("long")
-
-    def bits(w: int) -> Column:
-        return F.aggregate("set", none, lambda acc, h: F.when(h.bitwiseAND(F.lit(WORDS - 1)) == w, acc.bitwiseXOR(_bit(h))).otherwise(acc))
-
-    return out.select("line_id", "line", F.size("set").alias("size"), *[bits(w).alias(f"bits{w}") for w in range(WORDS)])
+    bits = [F.when(F.size(name) > 0, F.aggregate(name, none, bit)).otherwise(none).alias(f"bits{w}") for w, name in enumerate(parts)]
+    return out.select("line_id", "line", "size", *bits)
 
 
 PRINT = ["size", *[f"bits{w}" for w in range(WORDS)]]
@@ -130,9 +148,9 @@ def _verified(pairs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are near copies."""
     one, two = (held.select(F.col("line_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ["line", *PRINT]]) for k in "ab")
     both = pairs.join(growing(one), "a").join(growing(two), "b").filter(_may_link("a_", "b_"))
-    # Columns of their own, and a filter only after they are written: each set is made once for a pair.
-    both = both.select("a", "b", *[F.array_distinct(F.transform(shingles(F.col(f"{k}_line")), lambda s: F.xxhash64(s))).alias(f"set_{k}") for k in "ab"])
-    both = both.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    # Columns of their own, and a filter only after they are written: each array is made once for a pair.
+    both = both.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), *[_hashes(F.col(f"{k}_line")).alias(f"all_{k}") for k in "ab"])
+    both = both.select("a", "b", "n", F.size(F.array_intersect("all_a", "all_b")).alias("both"))
     tested = scratch.write(both.select("a", "b", (100 * F.col("both") >= PERCENT * (F.col("n") - F.col("both"))).alias("near")), "links")
     return tested.filter("near").select("a", "b")
 
@@ -181,7 +199,7 @@ def _early(rows: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     so many that near copies share one. Shingles of one component only come before all others: no line of another one has
     them, so they take places and are left out."""
     own = rows.select("line_id", "root").distinct().join(growing(held.select("line_id", "line")), "line_id")
-    own = own.withColumn("set", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))))
+    own = own.withColumn("set", F.array_distinct(_hashes(F.col("line"))))
     every = scratch.write(own.select("line_id", "root", F.size("set").alias("size"), F.explode_outer("set").alias("token")), "shingles")
     ordered = _open(every, "token").groupBy("line_id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
     least = F.ceil(F.col("size") * PERCENT / 100).cast("int")  # what a near copy of any size shares
@@ -244,11 +262,13 @@ def _apart(early: DataFrame) -> DataFrame:
 def _links(seen: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified (a, b), a > b, that join near copies that share bands. Texts are read again once, for lines in question."""
     every = seen.select("line_id", F.explode_outer("keys").alias("key"))
-    leads = every.groupBy("key").agg(F.min("line_id").alias("lead"), F.max("line_id").alias("last")).filter("lead <> last")
-    leads = scratch.write(leads.select("key", "lead"), "leads")  # written apart, so that its shuffle goes before the next
-    met = scratch.write(every.join(growing(leads), "key").select("line_id", "key", "lead").distinct(), "met")
-    held = lines.join(growing(met.select("line_id").distinct()), "line_id", "left_semi")
-    held = scratch.write(_prints(held.groupBy("line_id").agg(F.first("line").alias("line"))), "held")
+    # A window, so that the keys, most of which one line has alone, are shuffled and sorted once and not gathered in hash tables.
+    band = Window.partitionBy("key")
+    met = every.withColumns({"lead": F.min("line_id").over(band), "last": F.max("line_id").over(band)}).filter("lead <> last")
+    met = scratch.write(met.select("line_id", "key", "lead").distinct(), "met")
+    # The hash table is that of ids in question; texts stream by and aren't sorted.
+    held = lines.join(met.select("line_id").distinct().hint("shuffle_hash"), "line_id", "left_semi")
+    held = scratch.write(_prints(held.distinct()), "held")
     search = _Search(held, scratch)
     search.settle(met.filter("line_id <> lead").select(F.col("line_id").alias("a"), F.col("lead").alias("b")))
     met = met.select("line_id", "key")
@@ -275,17 +295,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     seen = scratch.write(_signed(lines).drop("line"), "lines")
     links = _links(seen, lines.select("line_id", "line"), scratch)
     groups = roots(links, scratch)
-    member = groups.select(F.col("node").alias("line_id"), "root").union(
-        groups.select(F.col("root").alias("line_id"), "root").distinct()
-    )
+    member = groups.select(F.col("node").alias("line_id"), "root").union(groups.select(F.col("root").alias("line_id"), "root"))
+    own = seen.filter("kind = 0").drop("keys", "kind")
     # Lines that stand alone, once and in no component, need no decision.
-    # A line that signs twice counts twice here, which only keeps a row more.
-    first = seen.groupBy("line_id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    rooted = first.join(growing(member), "line_id", "left").filter("n > 1 OR root IS NOT NULL")
-    rooted = scratch.write(rooted.withColumn("root", F.coalesce("root", "line_id")), "rooted")
-    best = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    gone = seen.drop("keys").join(growing(rooted.join(growing(best), "root").select("line_id", "stays")), "line_id")
-    gone = gone.filter(~F.col("stays").eqNullSafe(place))
+    often = own.groupBy("line_id").agg(F.count("*").alias("n")).filter("n > 1").select("line_id", F.lit(None).cast("long").alias("root"))
+    asked = member.union(often).groupBy("line_id").agg(F.coalesce(F.min("root"), "line_id").alias("root"))
+    rows = scratch.write(own.join(growing(asked), "line_id").drop("line_id"), "rooted")
+    best = rows.groupBy("root").agg(F.min(place).alias("stays"))
+    gone = rows.join(growing(best), "root").filter(~F.col("stays").eqNullSafe(place))
     return scratch.write(gone.groupBy("id", "tid").agg(F.array_distinct(F.collect_list("pos")).alias("positions")), "gone")
 
 
@@ -300,7 +317,7 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(body).alias("tid"),
-        F.size(F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)).cast("long").alias("n_lines"),
+        F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"),
     )
     gone = dropped_lines(docs, id_col, text).withColumnsRenamed({"id": "gid", "tid": "gtid"})
     out = own.join(growing(gone), F.col("id").eqNullSafe(F.col("gid")) & (F.col("tid") == F.col("gtid")), "left")
